@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op3_simhash, op6_mix
+from . import op1_url, op3_simhash, op6_mix
 
 QUERIES = {
+    "op1_url_filter": op1_url.query,
     "op3_simhash_near_dedup": op3_simhash.query,
     "op6_mix_sources": op6_mix.query,
 }
