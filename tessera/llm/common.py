@@ -96,15 +96,15 @@ class Words:
     """The words of a few texts, as spans of one byte buffer.
 
     ``buf``: the texts joined by a space; ``start``/``end``: the spans of all words; ``first``: for
-    text i its words are first[i]:first[i+1].
+    text i its words are first[i]:first[i+1]. ``gap``: which bytes are between words (space is one).
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], gap: np.ndarray = _IS_SPACE):
         self.buf = b" ".join(texts) + b" "
         self.data = np.frombuffer(self.buf, dtype=np.uint8)
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         at = np.concatenate([[0], np.cumsum(lengths + 1)])
-        solid = ~_IS_SPACE[self.data]
+        solid = ~gap[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], solid]).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, at)
@@ -112,6 +112,23 @@ class Words:
     def hashes(self, fold: bool) -> np.ndarray:
         return power_hash(_byte_values()[int(fold)][self.data], self.start, self.end)
 
+    def owner(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+_STEPS = np.array([pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive word hashes (n up to 64); shorter than ``words`` by n - 1."""
+    total = max(len(words) - n + 1, 0)
+    with np.errstate(over="ignore"):
+        out = np.full(total, n, dtype=np.uint64)
+        for k in range(n):
+            out += words[k : k + total] * _STEPS[k]
+    return mix64(out)
+
 
 def slices(texts: list, most: int = 4_000_000):
     """Index ranges whose texts have ``most`` bytes together, or one longer text alone."""
