@@ -92,15 +92,26 @@ def power_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix64((sums[ends] - sums[starts]) * _powers(n, True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def drop_one_hashes(values: np.ndarray, start: int, end: int) -> np.ndarray:
+    """``power_hash`` of values[start:end] without its first, its second, ..., its last value."""
+    own = values[start:end]
+    n = 1 << max(10, len(own).bit_length())
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _powers(n, False)[: len(own)])])
+        left = sums[:-1] + (sums[-1] - sums[1:]) * _powers(n, True)[1]
+        return mix64(left + np.uint64(len(own) - 1))
+
+
 class Words:
     """The words of a few texts, as spans of one byte buffer.
 
     ``buf``: the texts joined by a space; ``start``/``end``: the spans of all words; ``first``: for
-    text i its words are first[i]:first[i+1]. ``gap``: which bytes are between words (space is one).
+    text i its words are first[i]:first[i+1]. ``gap``: which bytes are between words; ``between``, one of them,
+    is put between the texts.
     """
 
-    def __init__(self, texts: list[bytes], gap: np.ndarray = _IS_SPACE):
-        self.buf = b" ".join(texts) + b" "
+    def __init__(self, texts: list[bytes], gap: np.ndarray = _IS_SPACE, between: bytes = b" "):
+        self.buf = between.join(texts) + between
         self.data = np.frombuffer(self.buf, dtype=np.uint8)
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         at = np.concatenate([[0], np.cumsum(lengths + 1)])

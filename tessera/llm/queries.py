@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_url, op2_decontaminate, op3_simhash, op4_langid, op6_mix
+from . import op1_url, op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix
 
 QUERIES = {
     "op1_url_filter": op1_url.query,
     "op2_benchmark_decontamination": op2_decontaminate.query,
     "op3_simhash_near_dedup": op3_simhash.query,
     "op4_language_id": op4_langid.query,
+    "op5_line_dedup": op5_linededup.query,
     "op6_mix_sources": op6_mix.query,
 }
 
