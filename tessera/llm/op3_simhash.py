@@ -57,15 +57,15 @@ def fingerprint(text: bytes | None, size: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(documents: DataFrame, size: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, for every row."""
+    """(doc_id, th, fp): the text's xxhash64 and the fingerprint as signed longs, for every row."""
 
     def run(batches):
         for b in batches:
-            values = np.array([fingerprint(t, size, seed) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.array([fingerprint(t, size, seed) for t in b.column("text").cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(values.view(np.int64))], names=["doc_id", "th", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return documents.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def _bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -127,12 +127,28 @@ def links(nodes: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
 
 
 def groups(documents: DataFrame, size: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; copies meet before the search, and only once."""
+    """(doc_id, th, fp, component_id) for every row; copies meet before the search, and only once."""
     fps = checkpoint(fingerprints(documents, size, seed))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
     found = components(links(nodes))
     named = nodes.join(found, "node", "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "th", "fp", "component_id")
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """One document of each group, the one with the smallest id, with its columns as they are.
+
+    A row that is repeated stays once. Where all ids of a group are null, one row of each text stays.
+    """
+    found = groups(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = checkpoint(found.groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.count("*").alias("_n")))
+    rows = documents.withColumn("_tx", F.xxhash64("text"))
+    once, often = found.filter("_n = 1"), found.filter("_n > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_tx") == F.col("_th"))
+    out = rows.join(once, same, "left_semi")
+    if not often.isEmpty():
+        out = out.unionByName(rows.join(often, same, "left_semi").dropDuplicates(["doc_id", "_tx"]))
+    return out.select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,8 @@ def test_groups_equal_brute_force(spark):
             if i is not None:
                 least[c] = min(i, least.get(c, i))
         assert got == {(i, f): least[c] for (i, f), c in zip(fps, comp)}
+    kept = op3_simhash.representatives(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
 def test_large_ball_without_pairs(spark):
