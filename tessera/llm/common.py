@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -26,10 +28,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on
     one machine, a folder of our own is made.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written as Parquet in the shared folder and read again.
+
+    For tables with a row a line or more: columns pack several times smaller than checkpointed rows.
+    Shuffle files that only the written plan needed are given back at once: the driver's collector
+    would do so some day, and until then they'd add up on the executors' disks.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``saved`` wrote, once no plan reads it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):

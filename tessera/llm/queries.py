@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_url, op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix, op8_spotsigs
+from . import op1_url, op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix, op7_lm, op8_spotsigs
 
 QUERIES = {
     "op1_url_filter": op1_url.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": op4_langid.query,
     "op5_line_dedup": op5_linededup.query,
     "op6_mix_sources": op6_mix.query,
+    "op7_lm_scoring": op7_lm.query,
     "op8_document_fingerprints": op8_spotsigs.query,
 }
 
