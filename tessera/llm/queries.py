@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_url, op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix, op7_lm, op8_spotsigs, op9_substrings
+from . import op1_url, op10_licenses, op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix, op7_lm, op8_spotsigs, op9_substrings
 
 QUERIES = {
     "op1_url_filter": op1_url.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm.query,
     "op8_document_fingerprints": op8_spotsigs.query,
     "op9_substring_dedup": op9_substrings.query,
+    "op10_license_scan": op10_licenses.query,
 }
 
 ORACLES = {
