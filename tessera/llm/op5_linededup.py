@@ -8,8 +8,8 @@ Lines are judged on the input, not on what is left; lines without words always s
 Equal lines meet first, by a grouped minimum. A distinct line's neighbourhood is itself and all lines
 with one word less, as hashed keys; equal keys join lines within one edit and some within two, and the
 place of the deletion verifies which: lines of one length must have it at the same place, and else the
-shorter line must be whole. Each slot of the join keeps the earliest line of each kind, so that a
-group of any size costs its rows once, never its pairs. A screen that loses nothing comes before it:
+shorter line must be whole. Each key and place keeps its earliest line, so that a group of any size
+costs its rows once, never its pairs. A screen that loses nothing comes before it:
 lines within one edit have their first or last half in common (of the length floor(n / 2) or
 floor((n - 1) / 2)), so only lines that share such a half with another emit their neighbourhoods.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpoint, drop_one_hashes, mix64, power_hash, slices, table
+from .common import Words, discard, drop_one_hashes, mix64, power_hash, saved, slices, table
 
 #: Lines with fewer words are removed only if equal to an earlier one.
 LEAST_WORDS = 8
@@ -70,61 +70,70 @@ def line_table(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, th long, line int, n int, h long, k0 long, k1 long, k2 long, k3 long")
 
 
-def _neighbourhoods(rows: DataFrame, kind: str) -> DataFrame:
-    """(slot, kind, h, n, at) of the lines ``lines`` (structs line, h, n) of each (doc_id, th, text).
+def _neighbourhoods(rows: DataFrame) -> DataFrame:
+    """(variant, place, rank) of the lines ``lines`` (structs line, h, rank) of each ``text``.
 
-    kind 0: one word less, with its place; 1: one word less; 2: the whole line. A slot of kind 0 is met
-    by lines of the same length with the same place, and a slot of kind 1 by whole lines.
+    A variant is the hash of the line without the word at ``place``, or of the whole line (place -1).
     """
 
     def run(batches):
         for b in batches:
-            ids, ths = b.column("doc_id"), b.column("th")
             texts, lines = b.column("text").to_pylist(), b.column("lines").to_pylist()
             for low, high in slices(texts, 1_000_000):
                 owner, number, begin, end, words = _lines(texts[low:high])
-                place = {(o, i): k for k, (o, i) in enumerate(zip(owner.tolist(), number.tolist(), strict=True))}
+                spot = {(o, i): k for k, (o, i) in enumerate(zip(owner.tolist(), number.tolist(), strict=True))}
+                variants, places, ranks = [], [], []
                 for j in range(low, high):
                     for item in lines[j]:
-                        k = place[j - low, item["line"]]
-                        s, e = int(begin[k]), int(end[k])
-                        less = drop_one_hashes(words, s, e)
-                        with np.errstate(over="ignore"):
-                            spot = mix64(less + np.uint64(0x9FB21C651E98DF25) * (np.arange(e - s, dtype=np.uint64) + np.uint64(1)))
-                        less = np.unique(less)
-                        slot = np.concatenate([spot, less, np.array([item["h"]], np.int64).view(np.uint64)]).view(np.int64)
-                        size = len(slot)
-                        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(spot), len(less), 1])
-                        same = lambda v, t, size=size: pa.array(np.full(size, v), t)
-                        own = pa.array(np.full(size, j))
-                        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(kinds), same(item["h"], pa.int64()), same(item["n"], pa.int32()), ids.take(own), ths.take(own), same(item["line"], pa.int32())], names=["slot", "kind", "h", "n", "doc_id", "th", "line"])
-
-    return rows.mapInArrow(run, f"slot long, kind byte, h long, n int, doc_id {kind}, th long, line int")
+                        k = spot[j - low, item["line"]]
+                        less = drop_one_hashes(words, int(begin[k]), int(end[k]))
+                        variants += [less.view(np.int64), np.array([item["h"]], np.int64)]
+                        places += [np.arange(len(less), dtype=np.int32), np.array([-1], np.int32)]
+                        ranks.append(np.full(len(less) + 1, item["rank"], np.int64))
+                if ranks:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (variants, places, ranks)], names=["variant", "place", "rank"])
+
+    return rows.select("text", "lines").mapInArrow(run, "variant long, place int, rank long")
 
 
 def removed_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, th, line): the lines to remove; th is the xxhash64 of the text."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    lines = checkpoint(line_table(documents, least))
     position = F.struct("doc_id", "th", "line")
-    distinct = lines.groupBy("h", "n").agg(F.min(F.struct(position.alias("at"), F.array("k0", "k1", "k2", "k3").alias("k"))).alias("f"), F.count("*").alias("c")).select("h", "n", "c", "f.at", "f.k")
+    lines = saved(line_table(documents, least))
+    halves = ["k0", "k1", "k2", "k3"]
+    distinct = saved(lines.groupBy("h", "n", *halves).agg(F.min(position).alias("at"), F.count("*").alias("c")))
 
-    halves = distinct.select("h", "n", "at", F.explode(F.array_distinct(F.array_compact("k"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    suspects = halves.join(shared, "half", "left_semi").select("h", "n", "at").distinct()
-    asked = suspects.groupBy(F.col("at.doc_id").alias("of"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("at.line", "h", "n")).alias("lines"))
-    texts = documents.select("doc_id", F.xxhash64("text").alias("tx"), F.col("text").cast("binary").alias("text"))
-    joined = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tx") == F.col("th"))).select("doc_id", "th", "text", "lines")
-    around = checkpoint(_neighbourhoods(joined, kind).withColumn("at", position).drop("doc_id", "th", "line"))
+    each = distinct.select("h", F.explode(F.array_distinct(F.array_compact(F.array(*halves)))).alias("half"))
+    shared = each.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
+    suspects = each.join(shared, "half", "left_semi").select("h").distinct()
+    # ids that grow with the position, so that the least id is the earliest line
+    suspects = saved(distinct.join(suspects, "h", "left_semi").select("h", "at").orderBy("at").withColumn("rank", F.monotonically_increasing_id()))
 
-    least_of = lambda k: F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"m{k}")
-    slots = around.groupBy("slot").agg(least_of(0), least_of(1), least_of(2), F.count("*").alias("c")).filter("c > 1").drop("c")
-    other = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
-    late = around.join(slots, "slot").filter(other < F.col("at")).select("h", "n").distinct()
-
-    known = distinct.select("h", "n", "c", "at").join(late.withColumn("late", F.lit(True)), ["h", "n"], "left").filter("c > 1 or late").select("h", "n", F.col("at").alias("first"), "late")
-    found = lines.select("h", "n", "doc_id", "th", "line").join(known, ["h", "n"])
-    return found.filter(F.col("late").isNotNull() | (F.col("first") < position)).select("doc_id", "th", "line")
+    asked = suspects.groupBy(F.col("at.doc_id").alias("of"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("at.line", "h", "rank")).alias("lines"))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("tx"), F.col("text").cast("binary").alias("text"))
+    joined = texts.dropDuplicates(["doc_id", "tx"]) if _repeats(documents) else texts
+    joined = joined.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tx") == F.col("th")))
+    around = saved(_neighbourhoods(joined))
+
+    met = around.groupBy("variant").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).filter("a < b").select("variant")
+    close = saved(around.join(met, "variant", "left_semi"))
+    discard(around)
+    # one length: the same place; lengths that differ by one: the shorter line is whole
+    same = close.filter("place >= 0").groupBy("variant", "place").agg(F.min("rank").alias("first"))
+    late = close.join(same, ["variant", "place"]).filter("first < rank").select("rank")
+    for asks, has in (("place >= 0", "place < 0"), ("place < 0", "place >= 0")):
+        first = close.filter(has).groupBy("variant").agg(F.min("rank").alias("first"))
+        late = late.union(close.filter(asks).join(first, "variant").filter("first < rank").select("rank"))
+    late = suspects.join(late.distinct(), "rank", "left_semi").select("h", F.lit(True).alias("late"))
+
+    known = distinct.select("h", "c", F.col("at").alias("first")).join(late, "h", "left").filter("c > 1 or late")
+    found = lines.select("h", "doc_id", "th", "line").join(known, "h")
+    return saved(found.filter(F.col("late").isNotNull() | (F.col("first") < position)).select("doc_id", "th", "line"))
+
+
+def _repeats(documents: DataFrame) -> bool:
+    """Whether a document id occurs more than once."""
+    return not documents.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
 def deduplicated(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
