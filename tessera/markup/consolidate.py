@@ -33,22 +33,18 @@ def is_structural(text: str) -> bool:
     return size(rest) < size(whole) * STRUCTURE_SHARE
 
 
-def border(left: str, right: str) -> str:
-    """The longest end of ``left`` that ``right`` begins with, in linear time."""
+def border(left: str, right: str, least: int = 1) -> str:
+    """The longest end of ``left`` that ``right`` begins with, if it has ``least`` characters, else ''.
+
+    Only places where the first ``least`` characters of ``right`` occur can begin it.
+    """
     most = min(len(left), len(right))
-    pattern, text = right[:most], left[-most:] if most else ""
-    table, k = [0] * most, 0
-    for i in range(1, most):
-        while k and pattern[i] != pattern[k]:
-            k = table[k - 1]
-        k += pattern[i] == pattern[k]
-        table[i] = k
-    k = 0
-    for ch in text:
-        while k and (k == most or ch != pattern[k]):
-            k = table[k - 1]
-        k += ch == pattern[k]
-    return pattern[:k]
+    head, at = right[:least], len(left) - most
+    while most >= least and (at := left.find(head, at)) >= 0:
+        if right.startswith(left[at:]):
+            return left[at:]
+        at += 1
+    return ""
 
 
 def common_words(a: list[str], b: list[str]) -> list[str]:
@@ -64,7 +60,7 @@ def _candidates(a: str, b: str):
             yield own
             break
     for left, right in ((a, b), (b, a)):
-        shared = border(left, right)
+        shared = border(left, right, LEAST_OVERLAP // 2)
         if size(shared) >= LEAST_OVERLAP:
             yield shared
     words = [[w for w in pieces(t.lower()) if size(w) > 2] for t in (a, b)]

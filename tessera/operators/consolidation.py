@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..markup.consolidate import Scored, consolidate
 
 
 def consolidate_results(results: DataFrame, keys: tuple[str, ...] = ("query_id", "url")) -> DataFrame:
-    """(keys, place, id, text, score, section_path, source_ids) from ranked (keys, rank, id, text, score, section_path)."""
+    """(keys, place, id, text, score, section_path, source_ids) from ranked (keys, rank, id, text, score, section_path).
+
+    A group is one row with a list, so that Arrow carries many groups at a time.
+    """
     kinds = {k: results.schema[k].dataType.simpleString() for k in keys}
+    lists = results.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text", "score", "section_path"))).alias("found"))
+    names = ["place", "id", "text", "score", "section_path", "source_ids"]
+    types = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.string())]
 
-    def run(own, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        rows = [Scored(r.id, r.text, float(r.score), r.section_path if isinstance(r.section_path, str) else None) for r in group.itertuples()]
-        out = [(*own, i, c.id, c.text, c.score, c.section, list(c.sources)) for i, c in enumerate(consolidate(rows))]
-        return pd.DataFrame(out, columns=[*keys, "place", "id", "text", "score", "section_path", "source_ids"])
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, found in enumerate(b.column("found").to_pylist()):
+                merged = consolidate([Scored(f["id"], f["text"], f["score"], f["section_path"]) for f in found])
+                rows += [(i, place, c.id, c.text, c.score, c.section, list(c.sources)) for place, c in enumerate(merged)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in keys], *[pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)]], names=[*keys, *names])
 
     schema = ", ".join([*[f"{k} {t}" for k, t in kinds.items()], "place int, id string, text string, score double, section_path string, source_ids array<string>"])
-    return results.select(*keys, "rank", "id", "text", "score", "section_path").groupBy(*keys).applyInPandas(run, schema)
+    return lists.mapInArrow(run, schema)

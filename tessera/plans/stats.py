@@ -56,7 +56,7 @@ def component_report(embeddings: DataFrame) -> DataFrame:
 
     The median is found by counts of equal components, in ranges that no task has to hold together.
     """
-    each = embeddings.select(F.explode("embedding").cast("double").alias("x"))
+    each = embeddings.select(F.explode(F.col("embedding").cast("array<double>")).alias("x"))
     sums = each.agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("greatest"), F.avg("x").alias("mean"))
     buckets = 4096
     s = sums.first()
