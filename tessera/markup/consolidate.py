@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from ..functions.text import STRUCTURE_PATTERNS, STRUCTURE_SHARE
 from .jsstrings import pieces, size, trim
@@ -26,6 +27,7 @@ class Scored:
     sources: tuple[str, ...] = ()
 
 
+@lru_cache(maxsize=256)
 def is_structural(text: str) -> bool:
     whole = rest = trim(text)
     for pattern in _STRUCTURE:
@@ -47,12 +49,20 @@ def border(left: str, right: str, least: int = 1) -> str:
     return ""
 
 
-def common_words(a: list[str], b: list[str]) -> list[str]:
+def common_words(a, b) -> list[str]:
     """The words of a, repeats included, that b has."""
     have = set(b)
     return [w for w in a if w in have]
 
 
+_pieces = lru_cache(maxsize=256)(pieces)
+
+
+@lru_cache(maxsize=256)
+def _long_words(text: str) -> tuple[str, ...]:
+    return tuple(w for w in pieces(text.lower()) if len(w) > 2 or size(w) > 2)
+
+
 def _candidates(a: str, b: str):
     """Texts that the two may share, in the order in which ties are settled."""
     for own, other in ((a, b), (b, a)):
@@ -63,12 +73,12 @@ def _candidates(a: str, b: str):
         shared = border(left, right, LEAST_OVERLAP // 2)
         if size(shared) >= LEAST_OVERLAP:
             yield shared
-    words = [[w for w in pieces(t.lower()) if size(w) > 2] for t in (a, b)]
+    words = _long_words(a), _long_words(b)
     common = common_words(*words)
     share = SHORT_COMMON_SHARE if max(map(len, words)) <= SHORT_WORDS else COMMON_SHARE
     if len(common) >= 2 and len(common) / min(map(len, words)) > share:
         yield " ".join(common)
-    last, first = pieces(trim(a)), pieces(trim(b))
+    last, first = _pieces(trim(a)), _pieces(trim(b))
     for n in range(1, min(EDGE_WORDS, len(last), len(first)) + 1):
         ends = " ".join(last[-n:]), " ".join(first[:n])
         bare = [e.lower().translate(_MARKS) for e in ends]

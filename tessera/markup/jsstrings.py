@@ -11,7 +11,7 @@ RUN = re.compile(f"{SPACE}+")
 
 def size(text: str) -> int:
     """Length in UTF-16 units."""
-    return len(text) if text.isascii() else len(text) + sum(c > "\uffff" for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def trim(text: str) -> str:
