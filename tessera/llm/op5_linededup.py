@@ -153,3 +153,21 @@ def query(spark, sf_dir: str) -> DataFrame:
     df = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return df.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), digest.alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, i, s[i] AS raw, doc_id * 1000000 + i AS pos,
+  regexp_extract_all(translate(s[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM split)),
+kinds AS (SELECT ws, len(ws) AS n, md5(array_to_string(ws, ' ')) AS h, min(pos) AS pos FROM lines WHERE len(ws) > 0 GROUP BY ws),
+variants AS (SELECT h, n, pos, p, md5(array_to_string(ws[: p - 1] || ws[p + 1 :], ' ')) AS k FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM kinds WHERE n >= 8)),
+late AS (
+  SELECT h FROM (SELECT h, pos, min(pos) OVER (PARTITION BY k, n, p) AS first FROM variants) WHERE first < pos
+  UNION SELECT v.h FROM variants v JOIN kinds w ON v.k = w.h AND w.n >= 8 AND w.pos < v.pos
+  UNION SELECT w.h FROM variants v JOIN kinds w ON v.k = w.h AND w.n >= 8 AND v.pos < w.pos),
+marked AS (SELECT l.doc_id, l.i, l.raw, len(l.ws) > 0 AND (l.pos > k.pos OR late.h IS NOT NULL) AS gone
+  FROM lines l LEFT JOIN kinds k ON k.ws = l.ws LEFT JOIN late ON late.h = k.h),
+per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(raw, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
