@@ -12,7 +12,7 @@ document. Two scores share one pass over the text:
 
 Scale: counts of words are gathered by a grouped sum, with partial sums in each task. A lattice is
 solved once for each distinct word of the corpus, not for each token. Documents then meet the word
-table in two ways: the ``HEAD`` most frequent words, a fixed number, are broadcast; all others are
+table in two ways: the most frequent words, ``HEAD`` at most, are broadcast; all others are
 joined by a shuffle of (row, word, count), so no vocabulary is ever gathered in one place and no word
 is dropped. Sums are per input row, so repeated rows each get their scores.
 
@@ -197,6 +197,22 @@ def _head_sums(documents: DataFrame, head) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, words long, known long, base double, lat double, tail array<struct<word:binary,n:long>>")
 
 
+def _frequency():
+    """Step of a word's frequency, sixteen to a doubling."""
+    return F.floor(F.log2("a") * 16).cast("int")
+
+
+def _head_level(words: DataFrame, most: int) -> int:
+    """The least step so that the words from it on are at most ``most``; from counts of a few hundred steps."""
+    held, level = 0, 1 << 20
+    for r in words.groupBy(_frequency().alias("f")).count().orderBy(F.desc("f")).collect():
+        held += r["count"]
+        if held > most:
+            break
+        level = r["f"]
+    return level
+
+
 def scores(documents: DataFrame, model_path: str = MODEL, head_words: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = documents.sparkSession
@@ -214,16 +230,13 @@ def scores(documents: DataFrame, model_path: str = MODEL, head_words: int = HEAD
     base_of = F.log10(F.col("c") + F.lit(ALPHA)) - F.lit(shrink)
 
     words = words.select("word", "a", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lat")
-    order = [F.desc("a"), F.asc("word")]
-    top = words.orderBy(*order).limit(head_words).collect()
+    level = _head_level(words, head_words)
+    top = words.filter(_frequency() >= level).collect()  # at most head_words
     head = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, *[np.array([r[c] for r in top], dtype=t) for c, t in (("k", np.int64), ("b", float), ("lat", float))]))
     rows = saved(_head_sums(documents, head).withColumn("row", F.monotonically_increasing_id()))
 
     tail = rows.select("row", F.inline("tail")).withColumnRenamed("n", "times")
-    if top:  # words of the head are never asked for
-        last = top[-1]
-        words = words.filter((F.col("a") < last["a"]) | ((F.col("a") == last["a"]) & (F.col("word") > F.lit(bytes(last["word"])))))
-    met = tail.join(words.select("word", "k", "b", "lat"), "word")
+    met = tail.join(words.filter(_frequency() < level).select("word", "k", "b", "lat"), "word")
     times = F.col("times")
     part = met.groupBy("row").agg(F.sum(times * F.col("k")).alias("known"), F.sum(times * F.col("b")).alias("base"), F.sum(times * F.col("lat")).alias("lat"))
     end_base = math.log10(ends + ALPHA) - shrink
