@@ -29,8 +29,8 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE, PIECES, PIECE_TRAINED = 3000, 4, 64
 HIDDEN, EMBED, STEPS, BATCH, RATE, SEED = 8, 8, 260, 384, 0.02, 11
 PIECE, LEAD = 192, 8
-#: Texts whose pooled probability is lower than this are rejected by ``accepted``.
-LEAST_SCORE = 0.5
+#: Texts whose pooled probability is lower, hardly above chance among four languages, are rejected by ``accepted``.
+LEAST_SCORE = 0.3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that can belong to a letter: A-Z, a-z, and all of longer UTF-8 sequences.
