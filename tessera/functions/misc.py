@@ -48,12 +48,12 @@ def cutoff(now, days: int):
 
 
 def format_bytes(n: float) -> str:
-    """1024-based size with two decimals, GB at most."""
-    for unit in ("B", "KB", "MB"):
-        if n < 1024:
-            return f"{n:.2f} {unit}"
-        n /= 1024
-    return f"{n:.2f} GB"
+    """1024-based size with two decimals at most, GB at most."""
+    units = ("Bytes", "KB", "MB", "GB")
+    k = 0
+    while n >= 1024 and k + 1 < len(units):
+        n, k = n / 1024, k + 1
+    return f"{round(n, 2):.2f}".rstrip("0").rstrip(".") + f" {units[k]}"
 
 
 def redact(options: dict) -> dict:

@@ -19,7 +19,7 @@ from ..operators.extraction import extract_pages, markdown_structure, pages_to_m
 from ..session import table
 from ..sources import providers, store
 from ..sources.embeddings import HashProvider, embed_column
-from . import read_page, retention, stats
+from . import envelope, read_page, retention, stats
 from . import web_search as ws
 
 QUERIES: dict = {}
@@ -700,6 +700,17 @@ def read_from_page_query(spark, d):
     return read_page.answer(logged_queries(spark, d), embedded_chunks(spark, d), HashProvider(), threshold=0.2)
 
 
+@query()
+def response_envelope(spark, d):
+    """The response of each document that is asked something, as JSON."""
+    asked = logged_queries(spark, d)
+    found = read_page.keyword_answer(asked, document_chunks(spark, d).select("url", "chunk_index", "id", "text", stored_path(F.col("section_path")).alias("section_path")))
+    requests = asked.select(F.xxhash64("url").alias("request_id"), F.concat("url", F.lit("#in")).alias("url_in"), "url", "query_id", "query")
+    docs = asked.select("url", F.lit(None).cast("string").alias("title"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("last_crawled"), F.lit(None).cast("string").alias("note"))
+    rows = envelope.page_responses(requests, found.withColumn("place", F.col("rank")), docs)
+    return envelope.to_json(rows, pretty=False)
+
+
 @query()
 def read_from_page_all(spark, d):
     c = document_chunks(spark, d)

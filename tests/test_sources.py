@@ -92,7 +92,7 @@ def test_embed_column_keeps_rows(spark):
 
 def test_misc(spark):
     assert misc.model_directory("Org/Model 1.5!") == "org-model-1-5"
-    assert [misc.format_bytes(n) for n in (10, 2048, 3 << 20, 5 << 40)] == ["10.00 B", "2.00 KB", "3.00 MB", "5120.00 GB"]
+    assert [misc.format_bytes(n) for n in (0, 10, 1536, 3 << 20, 5 << 40)] == ["0 Bytes", "10 Bytes", "1.5 KB", "3 MB", "5120 GB"]
     assert misc.redact({"API_KEY": "x", "a": {"authorization": "y", "n": 1}}) == {"API_KEY": "[REDACTED]", "a": {"authorization": "[REDACTED]", "n": 1}}
     with pytest.raises(ValueError):
         misc.cutoff(F.current_timestamp(), -1)
