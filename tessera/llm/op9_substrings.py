@@ -219,7 +219,8 @@ def _marks(fetched: DataFrame) -> DataFrame:
 def repeats(documents: DataFrame) -> DataFrame:
     """(pos, start, bits): repeated windows, 16 bits from each start; ``documents`` has pos and text (binary)."""
     every = saved(occurrences(documents))
-    again = every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    # the key tables of both joins are saved first: joined straight from their exchange, hot keys can be split
+    again = saved(every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"))
     met = saved(every.join(again, "anchor", "left_semi"))
     discard(every)
     first = F.min(F.struct("pos", "start")).alias("f")
@@ -232,7 +233,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     discard(fetched)
 
     known = kinds.join(marks, ["anchor", "passage"], "left").filter("c > 1 or bits is not null")
-    known = known.select("anchor", "passage", F.col("pos").alias("p"), F.col("start").alias("s"), F.coalesce("bits", F.lit(0)).alias("bits"))
+    known = saved(known.select("anchor", "passage", F.col("pos").alias("p"), F.col("start").alias("s"), F.coalesce("bits", F.lit(0)).alias("bits")))
     found = met.join(known, ["anchor", "passage"])
     whole = F.call_function("shiftleft", F.lit(1), F.col("windows").cast("int")) - 1
     bits = F.when((F.col("pos") == F.col("p")) & (F.col("start") == F.col("s")), F.col("bits")).otherwise(whole)
