@@ -17,9 +17,10 @@ def brute(docs, items):
     out = {}
     for d, text in docs:
         ws = words(text)
+        every = grams(ws).keys()
         for i, item in items:
             own = words(item)
-            if len(own) < 5:
+            if len(own) < 5 or not grams(own).keys() & every:
                 continue
             best = 0.0
             for s in range(len(ws) - len(own) + 1):

@@ -29,3 +29,58 @@ def test_run_and_empty(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def _plain_run(docs, items):
+    """All stages in plain Python, from rows (doc_id, text, lang, source, n_chars)."""
+    import re
+
+    from test_op2 import brute as leaks
+    from test_op3 import brute as simhash
+    from test_op5 import brute as line_dedup
+    from test_op6 import count, water
+
+    from tessera.llm import op4_langid
+
+    langs, weights = _MODEL
+    prob = op4_langid.document_probabilities([(t or "").encode() for _, t, *_ in docs], weights)
+    docs = [r for r, p in zip(docs, prob, strict=True) if re.search(r"[^\W\d_]", r[1] or "") and p.max() >= op4_langid.LEAST_SCORE]
+    kept = line_dedup([(r[0], r[1]) for r in docs])
+    docs = [(r[0], kept[r[0]], r[2], r[3]) for r in docs if kept[r[0]] == r[1] or count(kept[r[0]])]
+    prints = [(r[0], simhash(r[1])) for r in docs]
+    group = {d: d for d, _ in prints}
+    for _ in range(len(docs)):
+        new = {d: min(group[e] for e, g in prints if (f ^ g).bit_count() <= 2) for d, f in prints}
+        if new == group:
+            break
+        group = new
+    docs = [r for r in docs if group[r[0]] == r[0]]
+    bad = {d for d, _ in leaks([(r[0], r[1]) for r in docs], items)}
+    docs = [r for r in docs if r[0] not in bad]
+    sizes: dict = {}
+    for r in docs:
+        sizes[r[3]] = sizes.get(r[3], 0) + count(r[1])
+    goal = water(sizes)
+    return {r[0]: (r[1], goal[r[3]] / sizes[r[3]] * count(r[1])) for r in docs}
+
+
+_MODEL = None
+
+
+def test_run_equals_plain_version(spark):
+    global _MODEL
+    from tessera.llm import op4_langid
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    _MODEL = op4_langid.learn(table)
+    docs = sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table.collect())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = _plain_run(docs, items)
+    out = cp.run(spark, SF).collect()
+    sums: dict = {}
+    for r in out:
+        sums[r.doc_id] = sums.get(r.doc_id, 0) + r.words
+        whole = want[r.doc_id][0]
+        assert r.text == whole if r.words == len(whole.split()) else r.words < len(whole.split())
+    assert set(sums) <= set(want) and {d for d, (_, n) in want.items() if n >= 1} <= set(sums)
+    assert all(abs(sums.get(d, 0) - n) <= 1 for d, (_, n) in want.items())
