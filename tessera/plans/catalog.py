@@ -407,12 +407,12 @@ def upsert_latest(spark, d):
     return crawl_log(spark, d)
 
 
-@query(f"""WITH old AS ({_CRAWL}), new AS (SELECT url, NULL::VARCHAR AS title, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id END AS etag, last_crawled, event_id FROM old WHERE event_id % 5 < 2)
+@query(f"""WITH old AS ({_CRAWL}), new AS (SELECT url, NULL::VARCHAR AS title, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id END AS etag, last_crawled, event_id FROM old WHERE etag IS NULL)
 SELECT url, title, etag, event_id FROM old WHERE url NOT IN (SELECT url FROM new) UNION ALL SELECT url, title, etag, event_id FROM new""")
 def upsert_null_overwrite(spark, d):
-    """A replaced row is replaced whole: nulls overwrite."""
+    """Rows without an etag come again and are replaced whole: nulls overwrite."""
     old = crawl_log(spark, d)
-    new = old.filter("event_id % 5 < 2").withColumn("title", F.lit(None).cast("string")).withColumn("etag", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("n"), F.col("event_id").cast("string"))))
+    new = old.filter("etag IS NULL").withColumn("title", F.lit(None).cast("string")).withColumn("etag", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("n"), F.col("event_id").cast("string"))))
     return store.upsert(old, new, "url").select("url", "title", "etag", "event_id")
 
 
@@ -436,11 +436,11 @@ def revalidate_unchanged(spark, d):
 
 
 @query(f"""WITH c AS ({_CHUNKS}), doc AS ({_CRAWL})
-SELECT 'chunk' AS kind, id AS key FROM c WHERE url NOT IN (SELECT url FROM doc WHERE event_id % 10 = 0)
-UNION ALL SELECT 'document', url FROM doc WHERE event_id % 10 <> 0""")
+SELECT 'chunk' AS kind, id AS key FROM c WHERE url NOT IN (SELECT url FROM doc WHERE title IS NULL)
+UNION ALL SELECT 'document', url FROM doc WHERE title IS NOT NULL""")
 def delete_cascade(spark, d):
     docs, chunks = crawl_log(spark, d), stored_chunks(spark, d)
-    gone = docs.filter("event_id % 10 = 0").select("url")
+    gone = docs.filter("title IS NULL").select("url")
     left = chunks.join(gone, "url", "left_anti").select(F.lit("chunk").alias("kind"), F.col("id").alias("key"))
     return left.unionByName(docs.join(gone, "url", "left_anti").select(F.lit("document").alias("kind"), F.col("url").alias("key")))
 
@@ -510,14 +510,14 @@ def top3_per_query(spark, d):
     return ws.first_pages(result_items(spark, d)).select("query_id", "page_id", F.col("place").cast("int").alias("place"))
 
 
-@query(f"""WITH i AS ({_ITEMS}), l AS (SELECT p.page_id, lb.doc_id, lb.quality FROM pages p JOIN labels lb ON lb.doc_id % 97 = p.page_id % 97 AND p.page_id % 2 = 0),
+@query(f"""WITH i AS ({_ITEMS}), l AS (SELECT p.page_id, lb.doc_id, lb.quality FROM pages p JOIN labels lb ON lb.doc_id // 4 = p.page_id),
 m AS (SELECT page_id, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM l GROUP BY page_id)
 SELECT i.query_id, i.page_id, coalesce(m.n, 0) AS n, m.ids FROM i LEFT JOIN m ON i.page_id = m.page_id""")
 def attach_matches(spark, d):
     """Every item keeps its row; those with matches have them as a list."""
     items = result_items(spark, d)
-    p, lb = table(spark, d, "pages").filter("page_id % 2 = 0"), table(spark, d, "labels")
-    pairs = p.select("page_id", "url", (F.col("page_id") % 97).alias("k")).join(lb.select("doc_id", (F.col("doc_id") % 97).alias("k")), "k")
+    p, lb = table(spark, d, "pages"), table(spark, d, "labels")
+    pairs = p.select("page_id", "url").join(lb.select("doc_id", F.floor(F.col("doc_id") / 4).alias("page_id")), "page_id")
     per = pairs.groupBy("page_id", "url").agg(F.array_sort(F.collect_list("doc_id")).alias("relevant_chunks"))
     found = per.select((F.col("page_id") % 40).alias("query_id"), urls.normalize_url(F.col("url")).alias("url"), "relevant_chunks")
     out = ws.attach(items, found)
@@ -557,11 +557,11 @@ def error_classify(spark, d):
 
 
 @query(f"""WITH s AS ({_search_sql(_PLAIN, 5, 0.05, "SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0")}),
-q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 25 = 0), n AS (SELECT q.query_id, count(s.vec_id) AS n, sum(s.score) AS t FROM q LEFT JOIN s ON q.query_id = s.query_id GROUP BY 1)
+q AS (SELECT vec_id AS query_id FROM embeddings), n AS (SELECT q.query_id, count(s.vec_id) AS n, sum(s.score) AS t FROM q LEFT JOIN s ON q.query_id = s.query_id GROUP BY 1)
 SELECT count(*) AS queries, sum(n)::BIGINT AS results, count(*) FILTER (n > 0) AS with_hit, count(*) FILTER (n > 0) / count(*)::DOUBLE AS success_rate, round(sum(t) / sum(n), 6) AS mean_score FROM n""")
 def search_report(spark, d):
     found = QUERIES["sim_multi_query"](spark, d)
-    asked = table(spark, d, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"))
+    asked = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"))
     return stats.search_report(found, asked).withColumn("mean_score", F.round("mean_score", 6))
 
 
