@@ -32,11 +32,15 @@ PIECE, LEAD = 192, 8
 #: Texts whose pooled probability is lower, hardly above chance among four languages, are rejected by ``accepted``.
 LEAST_SCORE = 0.3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes that can belong to a letter: A-Z, a-z, and all of longer UTF-8 sequences.
 _LETTER_BYTES = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def _sigmoid(x):
     np.clip(x, -30, 30, out=x)
     np.negative(x, out=x)
@@ -256,7 +260,7 @@ def predict(documents: DataFrame, langs: list[str], weights: dict | None, keep:
             texts = b.column("text").to_pylist()
             label, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             for low, high in slices(texts, 3_000_000):
-                use = [i for i in range(low, high) if weights is not None and texts[i] and _LETTER.search(texts[i])]
+                use = [i for i in range(low, high) if weights is not None and has_letter(texts[i])]
                 if use:
                     prob = document_probabilities([texts[i].encode() for i in use], weights)
                     best = prob.argmax(axis=1)

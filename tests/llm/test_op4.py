@@ -59,13 +59,14 @@ def test_held_out_accuracy_and_cases(spark):
     assert langs == ["de", "en", "fr"]
     import zlib
 
-    odd = [(None, LANGS["en"], None, "x", 1), (900, None, "en", "x", 1), (901, "", "en", "x", 1), (902, "12 34 !!", "en", "x", 1), (903, LANGS["de"] * 3000, None, "x", 1), (3, rows[3][1], "de", "x", 1)]
+    odd = [(None, LANGS["en"], None, "x", 1), (900, None, "en", "x", 1), (901, "", "en", "x", 1), (902, "12 34 !! ½²", "en", "x", 1), (904, "東京", "en", "x", 1), (903, LANGS["de"] * 3000, None, "x", 1), (3, rows[3][1], "de", "x", 1)]
     got = op.predict(spark.createDataFrame(rows + odd, SCHEMA), langs, weights).collect()
     assert len(got) == len(rows) + len(odd)
     held = [r for r in got if r.doc_id is not None and r.doc_id < 240 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert held and np.mean([r.lang_pred == rows[r.doc_id][2] for r in held]) > 0.95
     by = {r.doc_id: (r.lang_pred, r.score) for r in got}
     assert by[900] == by[901] == by[902] == ("und", 0.0)
+    assert by[904][0] in langs and not op.has_letter(None)
     assert by[903][0] == "de" and by[None][0] == "en" and all(0 <= s <= 1 for _, s in by.values())
     kept = op.accepted(spark.createDataFrame(rows + odd, SCHEMA), ["doc_id", "lang_pred"])
     assert kept.columns == ["doc_id", "lang_pred"]

@@ -33,8 +33,6 @@ def test_run_and_empty(spark):
 
 def _plain_run(docs, items):
     """All stages in plain Python, from rows (doc_id, text, lang, source, n_chars)."""
-    import re
-
     from test_op2 import brute as leaks
     from test_op3 import brute as simhash
     from test_op5 import brute as line_dedup
@@ -44,7 +42,7 @@ def _plain_run(docs, items):
 
     langs, weights = _MODEL
     prob = op4_langid.document_probabilities([(t or "").encode() for _, t, *_ in docs], weights)
-    docs = [r for r, p in zip(docs, prob, strict=True) if re.search(r"[^\W\d_]", r[1] or "") and p.max() >= op4_langid.LEAST_SCORE]
+    docs = [r for r, p in zip(docs, prob, strict=True) if op4_langid.has_letter(r[1]) and p.max() >= op4_langid.LEAST_SCORE]
     kept = line_dedup([(r[0], r[1]) for r in docs])
     docs = [(r[0], kept[r[0]], r[2], r[3]) for r in docs if kept[r[0]] == r[1] or count(kept[r[0]])]
     prints = [(r[0], simhash(r[1])) for r in docs]
