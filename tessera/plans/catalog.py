@@ -57,9 +57,9 @@ def chunk_vectors(spark, d, scaled: bool = False) -> DataFrame:
 
 def one_query(chunks: DataFrame, unit: DataFrame) -> DataFrame:
     """Vector 0 as a query to every scope."""
-    v = unit.filter("id = 0").select(F.col("embedding").alias("query_embedding"), F.lit(0).cast("long").alias("query_id"))
+    v = unit.filter("id = 0").select("embedding").scalar()
     scopes = chunks.select("url").distinct()
-    return scopes.withColumn("query_id", F.lit(0).cast("long")).join(v, "query_id")
+    return scopes.select("url", F.lit(0).cast("long").alias("query_id"), v.alias("query_embedding"))
 
 
 def shown(found: DataFrame) -> DataFrame:
