@@ -35,7 +35,9 @@ SHINGLE, SIMILAR, RADIUS, BLOCKS = 5, 0.8, 19, 4
 #: Items that one pass looks for; a pass's index takes about 50 KB an item.
 MOST_ITEMS = 2000
 _GAP = np.array([not (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) for b in range(256)])
-_MARKS = re.compile("[\u0080-©«-±´¶-¸»¿×÷ -⁯　-〃〈-】﻿]")
+#: Ranges of other signs than letters and digits beyond ASCII that separate words.
+_SIGNS = ((0x80, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x3000, 0x3003), (0x3008, 0x3011), (0xFEFF, 0xFEFF))
+_MARKS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _SIGNS) + "]")
 
 
 def normal(text: str | None) -> bytes:
@@ -217,3 +219,19 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_SIGNS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _SIGNS) + "]"
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '{_SQL_SIGNS}', ' ', 'g')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+items AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '{_SQL_SIGNS}', ' ', 'g')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS s, n FROM (SELECT doc_id, ws, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS i FROM docs WHERE len(ws) >= 5)),
+b AS (SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, n, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT item_id, ws, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS i FROM items WHERE len(ws) >= 5)) GROUP BY ALL),
+met AS (SELECT DISTINCT d.doc_id, d.n AS total, d.i, b.item_id, b.n FROM d JOIN b ON d.s = b.s AND d.n >= b.n),
+windows AS (SELECT DISTINCT doc_id, item_id, n, w FROM (SELECT doc_id, item_id, n, total, unnest(range(greatest(1, i - n + 5), least(i, total - n + 1) + 1)) AS w FROM met)),
+bags AS (SELECT o.doc_id, o.item_id, o.n, o.w, d.s, count(*) AS c FROM windows o JOIN d ON d.doc_id = o.doc_id AND d.i BETWEEN o.w AND o.w + o.n - 5 GROUP BY ALL),
+shared AS (SELECT g.doc_id, g.item_id, g.n, g.w, sum(least(g.c, b.c)) AS m FROM bags g JOIN b ON b.item_id = g.item_id AND b.s = g.s GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, n, w, m::DOUBLE / (2 * (n - 4) - m)::DOUBLE AS similarity FROM shared)
+SELECT doc_id, item_id, similarity, (w - 1)::BIGINT AS first_word, n::BIGINT AS words
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, w) AS r FROM scored WHERE similarity >= 0.8) WHERE r = 1
+"""

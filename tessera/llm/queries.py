@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_benchmark_decontamination": op2_decontaminate.ORACLE,
     "op5_line_dedup": op5_linededup.ORACLE,
     "op6_mix_sources": op6_mix.ORACLE,
     "op9_substring_dedup": op9_substrings.ORACLE,
