@@ -179,7 +179,8 @@ def features(host, path, buckets: int = BUCKETS, grams=GRAMS):
         text = F.translate(F.concat(F.lit("^"), text, F.lit("$")), "0123456789", "0" * 10)
         places = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
         gram = lambda i: F.concat(F.lit(f"{tag}{n}"), F.substring(text, i, F.lit(n)))
-        return F.transform(places, lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(buckets)).cast("int"))
+        # the first 32 bits of the MD5, which SQL elsewhere has too
+        return F.transform(places, lambda i: F.pmod(F.conv(F.substring(F.md5(gram(i).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
 
     return F.array_distinct(F.concat(*[hashed(tag, text, n) for tag, text in (("h", host), ("p", path)) for n in grams]))
 
@@ -244,9 +245,50 @@ def judge(pages: DataFrame, weights: list[float], rules=RULES) -> DataFrame:
     df = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     df = df.withColumn("r", rule_for(F.col("host"), F.col("path"), rules)).withColumn("block_probability", probability(F.col("host"), F.col("path"), weights))
     model = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
-    return df.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", model).alias("verdict"), "block_probability")
+    return df.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", model).alias("verdict"), F.round("block_probability", 9).alias("block_probability"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     weights = fit(labelled_urls(spark))
     return judge(table(spark, sf_dir, "pages"), weights)
+
+
+def _sql_parts(url: str) -> str:
+    return f"translate(coalesce(regexp_extract({url}, '(?s)^(.*?)://([^/?#]*)', 2), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path"
+
+
+def _sql_features() -> str:
+    def hashed(tag, column, n):
+        t = f"regexp_replace('^' || {column} || '$', '[0-9]', '0', 'g')"
+        return f"list_transform(range(1, greatest(length({t}) - {n - 1}, 1) + 1), lambda i: ('0x' || substr(md5('{tag}{n}' || substr({t}, i, {n})), 1, 8))::BIGINT % {BUCKETS})"
+
+    every = [hashed(tag, c, n) for tag, c in (("h", "host"), ("p", "path")) for n in GRAMS]
+    return "list_distinct(" + " || ".join(every) + ")"
+
+
+def _sql_rules(i: int) -> str:
+    out = "NULL"
+    for rule in sorted(RULES, key=lambda r: len(r[1])):
+        host, slash, path = rule[1].partition("/")
+        out = f"CASE WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}') THEN '{rule[i]}' ELSE {out} END"
+    return out
+
+
+_VALUES = ", ".join(f"('{u}', {y}.0::DOUBLE)" for y, urls in ((0, ALLOWED), (1, BLOCKED)) for u in urls)
+_MARGIN = f"w[{BUCKETS + 1}] + list_sum(list_transform(f, lambda b: w[b + 1])) / sqrt(len(f)::DOUBLE)"
+ORACLE = f"""
+WITH RECURSIVE labelled(url, label) AS (VALUES {_VALUES}),
+rows AS (SELECT row_number() OVER (ORDER BY url) - 1 AS i, label, f, 1 / sqrt(len(f)::DOUBLE) AS x FROM (SELECT url, label, {_sql_features()} AS f FROM (SELECT url, label, {_sql_parts("url")} FROM labelled))),
+held AS (SELECT b, list({{'i': i, 'x': x}} ORDER BY i) AS q FROM (SELECT unnest(f) AS b, i, x FROM rows) GROUP BY b),
+one AS (SELECT (SELECT list({{'label': label, 'x': x, 'f': f}} ORDER BY i) FROM rows) AS e, (SELECT list(coalesce(q, []) ORDER BY r.range) FROM range({BUCKETS}) r LEFT JOIN held ON held.b = r.range) AS p),
+steps(t, w) AS (
+  SELECT 0, list_transform(range({BUCKETS + 1}), lambda i: 0.0::DOUBLE)
+  UNION ALL
+  SELECT t + 1, list_transform(range({BUCKETS}), lambda b: w[b + 1] * (1 - {DECAY}::DOUBLE) + {RATE}::DOUBLE * coalesce(list_sum(list_transform(p[b + 1], lambda s: err[s.i + 1] * s.x)), 0.0))
+         || [w[{BUCKETS + 1}] + {RATE}::DOUBLE * list_sum(err) / len(err)]
+  FROM (SELECT t, w, p, list_transform(e, lambda r: r.label - 1 / (1 + exp(-(w[{BUCKETS + 1}] + r.x * list_sum(list_transform(r.f, lambda b: w[b + 1])))))) AS err FROM steps, one WHERE t < {STEPS})),
+trained AS (SELECT w FROM steps WHERE t = {STEPS}),
+parts AS (SELECT page_id, {_sql_parts("url")} FROM pages),
+scored AS (SELECT page_id, host, path, 1 / (1 + exp(-({_MARGIN}))) AS p FROM (SELECT *, {_sql_features()} AS f FROM parts), trained)
+SELECT page_id, host, path, {_sql_rules(1)} AS rule, coalesce({_sql_rules(0)}, CASE WHEN p >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(p, 9) AS block_probability FROM scored
+"""
