@@ -39,19 +39,21 @@ def signatures(text):
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     marked = F.concat(F.array_join(F.transform(words, lambda w: F.when(w.isin(common), F.concat(F.lit("\n"), w)).otherwise(w)), " "), F.lit(" "))
     let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    # the first 32 bits of the MD5, which SQL elsewhere has too, in the order of their hex digits
+    digest = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
 
     def chains(parts):  # what is before the first anchor, then each anchor with what follows it
         rest = F.transform(parts, lambda p: F.substring(p, F.instr(p, " ") + 1, F.lit(1 << 30)))
-        spot = lambda p, after: F.hash(F.rtrim(F.substring_index(F.concat(p, F.coalesce(after, F.lit(""))), " ", CHAIN + 1)))
+        spot = lambda p, after: digest(F.rtrim(F.substring_index(F.concat(p, F.coalesce(after, F.lit(""))), " ", CHAIN + 1)))
         spots = let(rest, lambda r: F.transform(parts, lambda p, i: spot(p, F.get(r, i + 1))))
-        whole = F.array(F.hash(F.concat(F.lit("\n"), F.array_join(parts, "\n"))))
+        whole = F.array(digest(F.concat(F.lit("\n"), F.array_join(parts, "\n"))))
         return F.when(F.size(parts) > 1, F.slice(spots, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(whole)
 
     return F.sort_array(F.array_distinct(let(F.split(marked, "\n"), chains)))
 
 
 def as_text(sigs):
-    return F.array_join(F.transform(sigs, lambda s: F.lower(F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    return F.array_join(F.transform(sigs, lambda s: F.lower(F.lpad(F.hex(s.cast("long") + F.lit(1 << 31)), 8, "0"))), "")
 
 
 def likeness(a, b):
@@ -116,3 +118,26 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited"), F.col("sigs").alias("own"), F.col("next_sigs").alias("next"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next", signatures(F.col("edited")).alias("other"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+
+
+_LIST = "[" + ", ".join(f"'{w}'" for w in sorted(set(COMMON_WORDS))) + "]"
+
+
+def _sql_signatures(text: str) -> str:
+    words = f"list_transform(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: CASE WHEN list_contains({_LIST}, w) THEN chr(10) || w ELSE w END)"
+    parts = f"string_split(array_to_string({words}, ' ') || ' ', chr(10))"
+    chain = "rtrim(array_to_string(string_split(p[i] || coalesce(substr(p[i + 1], instr(p[i + 1], ' ') + 1), ''), ' ')[: 3], ' '), ' ')"
+    spots = f"list_transform(range(2, len(p) + 1), lambda i: substr(md5({chain}), 1, 8))"
+    whole = "[substr(md5(chr(10) || array_to_string(p, chr(10))), 1, 8)]"
+    return f"(SELECT list_sort(list_distinct(CASE WHEN len(p) > 1 THEN {spots} ELSE {whole} END)) FROM (SELECT {parts} AS p))"
+
+
+_LIKE = "len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE"
+ORACLE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM t WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, text, next_text, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 3) || substr(next_text, 1, length(text) // 3) AS edited FROM n),
+f AS (SELECT doc_id, n_chars, edited, {_sql_signatures("e.text")} AS own, {_sql_signatures("e.next_text")} AS next, {_sql_signatures("e.edited")} AS other FROM e)
+SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
+{_LIKE.format(a="own", b="other")} AS near_edited, {_LIKE.format(a="own", b="next")} AS near_next FROM f
+"""

@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filter": op1_url.ORACLE,
     "op2_benchmark_decontamination": op2_decontaminate.ORACLE,
     "op5_line_dedup": op5_linededup.ORACLE,
     "op6_mix_sources": op6_mix.ORACLE,
+    "op8_document_fingerprints": op8_spotsigs.ORACLE,
     "op9_substring_dedup": op9_substrings.ORACLE,
 }
