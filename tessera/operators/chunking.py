@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..markup import chunking
+from .spread import spread
 
 SCHEMA = "id string, url string, section_path array<string>, text string, tokens int, overlap_tokens int, chunk_index int"
 
@@ -26,7 +27,7 @@ def chunk_documents(documents: DataFrame, most_tokens: int = chunking.DEFAULT_TO
                 rows += [(c.id, url, list(c.path), c.text, c.tokens, c.overlap, i) for i, c in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return documents.select("url", "markdown").mapInArrow(run, SCHEMA)
+    return spread(documents.select("url", "markdown")).mapInArrow(run, SCHEMA)
 
 
 def stored_path(section_path):

@@ -15,7 +15,10 @@ def consolidate_results(results: DataFrame, keys: tuple[str, ...] = ("query_id",
     A group is one row with a list, so that Arrow carries many groups at a time.
     """
     kinds = {k: results.schema[k].dataType.simpleString() for k in keys}
-    lists = results.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text", "score", "section_path"))).alias("found"))
+    spark = results.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the shuffle that the grouping needs anyway, but with a number of parts that AQE keeps: Python has work to do in each
+    lists = results.repartition(parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text", "score", "section_path"))).alias("found"))
     names = ["place", "id", "text", "score", "section_path", "source_ids"]
     types = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.string())]
 

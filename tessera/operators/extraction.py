@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..markup import dom
 from ..markup import extract as ex
 from ..markup.markdown import structure, to_markdown
+from .spread import spread
 
 STRUCTURE = "struct<headings:array<struct<level:int,text:string,position:int>>,code_blocks:array<struct<language:string,content:string,position:int,length:int>>,lists:array<struct<content:string,position:int,item_count:int>>,word_count:int,character_count:int>"
 _FIELDS = ["title", "text", "markdown", "excerpt", "section_paths", "structure", "byline", "lang", "method", "note"]
@@ -32,6 +33,7 @@ def extract_pages(pages: DataFrame, rendered: str | None = None) -> DataFrame:
 
     ``rendered`` names a column with the page as a browser rendered it, if a renderer filled one.
     """
+    pages = spread(pages.select("url", "html", *([rendered] if rendered else [])))
     rows = pages.select("url", "html", tx.clean_html(F.col("html")).alias("_clean"), tx.html_title(F.col("html")).alias("_title"), (F.col(rendered) if rendered else F.lit(None).cast("string")).alias("_shown"))
 
     def run(batches):
@@ -54,7 +56,7 @@ def pages_to_markdown(pages: DataFrame) -> DataFrame:
                 out.append(to_markdown(next((n for n in root.walk() if n.tag == "body"), root)))
             yield pa.RecordBatch.from_arrays([b.column("url"), pa.array(out, pa.string())], names=["url", "markdown"])
 
-    return pages.select("url", "html").mapInArrow(run, "url string, markdown string")
+    return spread(pages.select("url", "html")).mapInArrow(run, "url string, markdown string")
 
 
 def markdown_structure(documents: DataFrame) -> DataFrame:
@@ -66,4 +68,4 @@ def markdown_structure(documents: DataFrame) -> DataFrame:
             found = [structure(t or "") for t in b.column("markdown").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, _arrow_structure())], names=["doc_id", "structure"])
 
-    return documents.select("doc_id", "markdown").mapInArrow(run, f"doc_id {kind}, structure {STRUCTURE}")
+    return spread(documents.select("doc_id", "markdown")).mapInArrow(run, f"doc_id {kind}, structure {STRUCTURE}")

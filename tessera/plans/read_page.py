@@ -24,10 +24,14 @@ def changed_pages(pages: DataFrame, documents: DataFrame | None) -> DataFrame:
     return pages.join(state, "url", "left_anti")
 
 
-def ingest(pages: DataFrame, provider: EmbeddingProvider, most_tokens: int = 512, overlap: float = 15) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) for the store from (url, html). Both are plans; each url is canonical."""
-    own = pages.withColumn("url", urls.normalize_url(F.col("url"))).filter("url is not null").dropDuplicates(["url"])
-    found = extract_pages(own)
+def ingest(pages: DataFrame, provider: EmbeddingProvider, most_tokens: int = 512, overlap: float = 15, canonical: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) for the store from (url, html). Both are plans; each url is canonical.
+
+    ``canonical``: the urls are so already, and each is there once.
+    """
+    if not canonical:
+        pages = pages.withColumn("url", urls.normalize_url(F.col("url"))).filter("url is not null").dropDuplicates(["url"])
+    found = extract_pages(pages)
     documents = found.select("url", "title", hashing.content_hash(F.col("text")).alias("content_hash"), "section_paths", "excerpt", "lang", "method", "note")
     chunks = chunk_documents(found.select("url", "markdown"), most_tokens, overlap)
     rows = chunks.select("id", "url", stored_path(F.col("section_path")).alias("section_path"), "text", "tokens", "chunk_index")

@@ -27,9 +27,9 @@ def attach(items: DataFrame, matches: DataFrame) -> DataFrame:
 def web_search(items: DataFrame, queries: DataFrame, pages: DataFrame, provider: EmbeddingProvider, threshold: float | None = 0.6, minimal: bool = False) -> DataFrame:
     """items (query_id, ordinal, link, ...), queries (query_id, query), pages (url, html): items with ``relevant_chunks``."""
     wanted = first_pages(items).filter("url is not null").select("query_id", "url").distinct()
-    own = pages.withColumn("url", urls.normalize_url(F.col("url"))).join(wanted.select("url").distinct(), "url", "left_semi")
-    documents, chunks = read_page.ingest(own, provider)
+    own = pages.withColumn("url", urls.normalize_url(F.col("url"))).join(wanted.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
+    _, chunks = read_page.ingest(own, provider, canonical=True)
     found = read_page.answer(wanted.join(queries, "query_id"), chunks, provider, read_page.SEARCH_RESULTS, threshold)
-    matches = read_page.references(found, documents.select("url", F.lit(None).cast("timestamp").alias("last_crawled"))).select("query_id", "url", "relevant_chunks")
+    matches = read_page.references(found, own.select("url", F.lit(None).cast("timestamp").alias("last_crawled")).distinct()).select("query_id", "url", "relevant_chunks")
     out = attach(items, matches)
     return out.drop("raw") if minimal else out
