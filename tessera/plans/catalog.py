@@ -16,6 +16,7 @@ from ..operators import similarity
 from ..operators.chunking import chunk_documents, compat_path, stored_path
 from ..operators.consolidation import consolidate_results
 from ..operators.extraction import extract_pages, markdown_structure, pages_to_markdown
+from ..operators.spread import spread
 from ..session import table
 from ..sources import providers, store
 from ..sources.embeddings import HashProvider, embed_column
@@ -286,7 +287,7 @@ _CLEAN = f"trim({_chain('html', [*tx.CUT_PATTERNS, '<[^>]+>', S + '+'])})"
 @query(f"SELECT page_id, {_CLEAN} AS text, length({_CLEAN})::INT AS n FROM pages")
 def clean_html_raw(spark, d):
     text = tx.clean_html(F.col("html"))
-    return table(spark, d, "pages").select("page_id", text.alias("text")).select("page_id", "text", F.length("text").alias("n"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", text.alias("text")).select("page_id", "text", F.length("text").alias("n"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<title[^>]*>[^\\n\\r]*?</title>') THEN trim(regexp_extract(html, '(?i)<title[^>]*>([^\\n\\r]*?)</title>', 1)) END AS title FROM pages")
@@ -327,7 +328,7 @@ def excerpt_300(spark, d):
 {_JS_LENGTH.format(t="text")}::INT AS characters, len(regexp_extract_all(text, '(?m)^[*-] '))::INT AS items FROM documents""")
 def word_char_counts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", tx.raw_word_count(t).alias("words"), tx.split_word_count(t).alias("split_words"), tx.js_length(t).cast("int").alias("characters"), tx.list_item_count(t).alias("items"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.raw_word_count(t).alias("words"), tx.split_word_count(t).alias("split_words"), tx.js_length(t).cast("int").alias("characters"), tx.list_item_count(t).alias("items"))
 
 
 def _trim_sql(t: str) -> str:
@@ -347,7 +348,7 @@ def _structure_sql() -> str:
 def structural_flag(spark, d):
     t = F.col("text")
     marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), F.replace(t, F.lit("\n"), F.lit("\n- ")))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```x\n"), t, F.lit("\n```\n"), F.substring(t, 1, 80))).otherwise(t)
-    return table(spark, d, "documents").select("doc_id", tx.is_structural(marked).alias("structural"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.is_structural(marked).alias("structural"))
 
 
 @query(f"""WITH m AS (SELECT doc_id, regexp_replace(replace(text, '. ', chr(10) || chr(10) || chr(10) || chr(10) || '# '), ', ', chr(10) || '- ', 'g') AS t FROM documents)
