@@ -154,6 +154,7 @@ class Index:
                 by_size.setdefault(n, []).append(p)
         for n, places in by_size.items():
             if end - begin < n:
+                yield from self._whole(self.sizes[n], shingles[begin : end - SHINGLE + 1], end - begin)
                 continue
             p = np.array(places)
             edge = np.zeros(end - begin - n + 2, dtype=np.int64)
@@ -162,6 +163,16 @@ class Index:
             starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0) + begin
             yield from self._of_size(self.sizes[n], n, shingles, begin, starts)
 
+    def _whole(self, one, own, words):
+        """Items that a shorter text, as one window, is close to; all that share enough shingles are verified."""
+        if len(own) < SIMILAR * one.count:
+            return
+        shared = np.isin(one.shingles, own).sum(axis=1)  # no similarity is above this share of the item
+        for i in np.flatnonzero(shared >= SIMILAR * one.count).tolist():
+            got = similarity(own, one.bags[i])
+            if got >= SIMILAR:
+                yield one.ids[i], got, 0, words
+
     def _of_size(self, one, n, shingles, begin, starts):
         best: dict[int, tuple[float, int]] = {}
         for part in np.split(starts, np.arange(4096, len(starts), 4096)):

@@ -91,3 +91,14 @@ def test_empty(spark):
     assert op.leaks(df.limit(0), bench).count() == 0 and op.leaks(df, bench.limit(0)).count() == 0
     repeated = df.union(df)
     assert op.leaks(repeated, bench).count() == 2
+
+
+def test_documents_shorter_than_the_item(spark):
+    ws = [f"w{i}" for i in range(24)]
+    docs = [(1, " ".join(ws[:-1])), (2, " ".join(ws[2:-2])), (3, " ".join(ws[:-5])), (4, " ".join(ws[:4])), (5, " ".join(ws[:10] + ["x"] + ws[11:-1])), (6, "a b c d e f g h")]
+    items = [(1, " ".join(ws)), (2, "a b c d e f g h i"), (3, " ".join(ws[:-1] + ["z"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.words) for r in op.leaks(df, bench).collect()}
+    assert got == {(1, 1): (0.95, 0, 23), (1, 3): (0.95, 0, 23), (2, 1): (0.8, 0, 20), (2, 3): (0.8, 0, 20), (6, 2): (0.8, 0, 8)}
+    assert {r.doc_id for r in op.clean(df, bench).collect()} == {3, 4, 5}
