@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix
+from tessera.llm import near_documents, op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix
 from tessera.llm.common import WORD_PATTERN, table
 
 
@@ -29,8 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    return op3_simhash.representatives(docs)
+    """Keeps the document with the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return op3_simhash.representatives(docs, near_documents.groups(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

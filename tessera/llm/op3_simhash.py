@@ -135,12 +135,13 @@ def groups(documents: DataFrame, size: int = WORDS, seed: int = SEED) -> DataFra
     return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "th", "fp", "component_id")
 
 
-def representatives(documents: DataFrame) -> DataFrame:
+def representatives(documents: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns as they are.
 
-    A row that is repeated stays once. Where all ids of a group are null, one row of each text stays.
+    ``grouped`` (doc_id, th, component_id) are other groups than those of this query's rule. A row that is
+    repeated stays once. Where all ids of a group are null, one row of each text stays.
     """
-    found = groups(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = (groups(documents) if grouped is None else grouped).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     found = checkpoint(found.groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.count("*").alias("_n")))
     rows = documents.withColumn("_tx", F.xxhash64("text"))
     once, often = found.filter("_n = 1"), found.filter("_n > 1")
