@@ -2,10 +2,9 @@
 
 A text is cut in units (lines, and sentences within lines). Units with a license cue, joined over gaps
 of at most ``GAP`` units, are candidate blocks. Each block is compressed with zstandard alone and with
-each template as raw-content dictionary; templates are ranked by the bytes that they save. The
-templates within a few bytes of the best go to an exact comparison with the block, word by word, and
-the one with the fewest differing words is the block's license if they are no more than a tenth of
-the template's words. What stands before and after the template's words in the block doesn't count;
+each template as raw-content dictionary; templates are ranked by the bytes that they save. What is
+confirmed is up to the wording alone, however long the block: every template whose words are in the
+block but for a tenth is compared with it word by word, around their longest common run. What stands before and after the template's words in the block doesn't count;
 short statements must be whole and exact. All differences are reported.
 
 Defined cases: null and empty texts have no block; a document has as many rows as it has blocks, in
@@ -16,6 +15,7 @@ block has a license; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 GAP, LEVEL = 3, 6
-#: Templates that save at least this share of the best one's savings are compared word by word.
+#: Of a block without a license, templates that save at least this share of the best one's savings are reported on.
 CLOSE = 0.75
 MOST_DIFFERENT = 0.1
 #: Templates with fewer words are statements, which must be there word for word.
 LONG = 30
-#: A block without savings of this share of its compressed size isn't compared at all.
+#: Of a block without a license and without savings of this share of its compressed size, no template is reported.
 LEAST_SAVING = 0.2
 
 #: Names of licenses, by identifier.
@@ -155,7 +155,9 @@ class Scanner:
         for _, text in templates:
             data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False))
-        self.judge = lru_cache(maxsize=20_000)(self._judge)
+        self.bags = [Counter(own) for _, _, own in self.templates]
+        self.all_of = lru_cache(maxsize=20_000)(self._all_of)
+        self.judge = self._judge
 
     def savings(self, block: str) -> tuple[int, list[int]]:
         """Compressed size of a block, and the bytes that each template saves."""
@@ -163,24 +165,68 @@ class Scanner:
         alone = len(self.plain.compress(data))
         return alone, [alone - len(c.compress(data)) for c in self.given]
 
+    def _compare(self, i: int, words: list[str]):
+        """(differing words, edits, begin, end) of the words that the template covers, None if it isn't confirmed."""
+        own = self.templates[i][2]
+        n = len(own)
+        if not n or n > len(words) + MOST_DIFFERENT * n:
+            return None
+        if n < LONG:
+            first = own[0]
+            at = next((k for k in range(len(words) - n + 1) if words[k] == first and words[k : k + n] == own), None)
+            return None if at is None else (0, [], at, at + n)
+        # words that aren't in the block at all differ in any alignment
+        if sum((self.bags[i] - Counter(words)).values()) > MOST_DIFFERENT * n:
+            return None
+        place = SequenceMatcher(None, own, words, autojunk=False).find_longest_match()
+        slack = int(MOST_DIFFERENT * n) + 1
+        low = max(0, place.b - place.a - slack)
+        part = words[low : place.b - place.a + n + slack]
+        edits = differences(own, part)
+        weight = _weight(edits)
+        if weight > MOST_DIFFERENT * n:
+            return None
+        same = [m for m in SequenceMatcher(None, own, part, autojunk=False).get_matching_blocks() if m.size]
+        return weight, edits, low + same[0].b, low + same[-1].b + same[-1].size
+
+    def _winner(self, words: list[str], saved: list[int]):
+        """The confirmed template that has the most words in the block and the fewest that differ."""
+        found = []
+        for i in range(len(self.templates)):
+            if got := self._compare(i, words):
+                found.append((2 * got[0] - len(self.templates[i][2]), -saved[i], i, got))
+        return min(found, key=lambda f: f[:3]) if found else None
+
     def _judge(self, block: str):
         """(license or None, template or None, saving, differing words, edits) of a block."""
+        return self.all_of(block)[0]
+
+    def _all_of(self, block: str):
+        """One such row for each license of a block, in the order of confirmation; one without a license if there is none."""
         if not self.given:
-            return None, None, 0.0, 0, ()
+            return [(None, None, 0.0, 0, ())]
         alone, saved = self.savings(block)
-        best = max(saved)
-        share = best / alone
-        if share < LEAST_SAVING:
-            return None, None, share, 0, ()
         words = _WORD.findall(block.lower())
+        rest, out = words, []
+        while won := self._winner(rest, saved):
+            i, (weight, edits, begin, end) = won[2], won[3]
+            out.append((self.templates[i][0], i, saved[i] / alone, weight, tuple(edits)))
+            rest = [*rest[:begin], "\n", *rest[end:]]  # no word, so that what stood around isn't joined
+        return out or [self._nearest(words, alone, saved)]
+
+    def _nearest(self, words: list[str], alone: int, saved: list[int]):
+        """The row of a block without a license: the closest of the templates that save most."""
+        best = max(saved)
+        if best / alone < LEAST_SAVING:
+            return None, None, best / alone, 0, ()
         ranked = sorted((i for i, s in enumerate(saved) if s >= CLOSE * best), key=lambda i: (-saved[i], i))
         found = []
         for rank, i in enumerate(ranked):
-            key, _, own = self.templates[i]
+            own = self.templates[i][2]
             edits = differences(own, words)
-            found.append((_weight(edits) / max(len(own), 1), -len(own), rank, key, i, edits))
-        ratio, size, _, key, i, edits = min(found)
-        return (key if ratio <= (MOST_DIFFERENT if -size >= LONG else 0) else None), i, saved[i] / alone, _weight(edits), tuple(edits)
+            found.append((_weight(edits) / max(len(own), 1), -len(own), rank, i, edits))
+        _, _, _, i, edits = min(found)
+        return None, i, saved[i] / alone, _weight(edits), tuple(edits)
 
     def scan(self, text: str):
         for start, end in blocks(text):

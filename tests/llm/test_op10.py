@@ -56,3 +56,13 @@ def test_documents(spark):
     assert {r.doc_id for r in found} == {None, 1, 2, 3, 4, 5, 8, 9}
     assert op.scan(df.limit(0)).count() == 0
     assert {r.license for r in op.scan(df, []).collect()} == {None}
+
+
+def test_statement_in_a_longer_block():
+    text = "Copyright (c) 2019 Some One and all of the friends. Copyright (c) 2020 Other People of the Project.\nReleased under the MIT License.\n"
+    text += "There is no warranty for this program, to the extent permitted by applicable law, and all of the risk is with you and nobody else."
+    scanner = op.Scanner(op.default_templates())
+    assert len(op.blocks(text)) == 1
+    alone, saved = scanner.savings(text)
+    assert max(saved) / alone < 0.2
+    assert [r[2] for r in scanner.scan(text)] == ["MIT"]
