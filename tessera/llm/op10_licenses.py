@@ -7,7 +7,11 @@ confirmed is up to the wording alone, however long the block: every template who
 block but for a tenth is compared with it word by word, around their longest common run. What stands before and after the template's words in the block doesn't count;
 short statements must be whole and exact. All differences are reported.
 
-Defined cases: null and empty texts have no block; a document has as many rows as it has blocks, in
+A block has a row for each license: the words of a confirmed template are taken out of the block and
+the rest is judged, until none is confirmed. Cues are completed from the templates, so that no unit of
+theirs is without one.
+
+Defined cases: null and empty texts have no block; a document has a row or more for each block, in
 order; repeated rows are each scanned; an empty table gives an empty result; without templates no
 block has a license; further columns are ignored.
 """
@@ -86,7 +90,7 @@ This library is distributed in the hope that it will be useful, but WITHOUT ANY
 }
 
 #: Cues of a license, in lower case.
-CUES = ("licen", "copyright", "permission is hereby", "permission to use", "redistribut", "warrant", "public domain", "free software", "spdx-", "creative commons", "cc by", "gpl", "shall be included in all copies")
+CUES = ("licen", "cc0", "copyright", "permission is hereby", "permission to use", "redistribut", "warrant", "public domain", "free software", "spdx-", "creative commons", "cc by", "gpl", "shall be included in all copies")
 _UNIT = re.compile(r"[^\n]+?(?:(?<=[.!?:;])(?=[ \t])|(?=\n)|\Z)")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -96,12 +100,24 @@ def default_templates() -> list[tuple[str, str]]:
     return [*TEXTS.items(), *[(key, s.format(n)) for key, names in NAMES.items() for n in names for s in STATEMENTS]]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks of a text, in characters."""
+def cues(templates: list[tuple[str, str]]) -> tuple[str, ...]:
+    """``CUES``, and the first words of each unit of a template that has none of them, so that blocks hold whole templates."""
+    out = list(CUES)
+    for _, text in templates:
+        for unit in _UNIT.findall(text.lower()):
+            if _WORD.search(unit) and not any(c in unit for c in out):
+                cue = " ".join(unit.split()[:4])
+                out.append(cue if cue in unit else unit.strip())
+    return tuple(out)
+
+
+def blocks(text: str, cues: tuple[str, ...] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the candidate blocks of a text, in characters; the cues are those of the default templates."""
+    cues = _default_cues() if cues is None else cues
     low = text.lower()
     if len(low) != len(text):  # a letter whose small form is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    places = sorted(m for cue in CUES if cue in low for m in _finds(low, cue))
+    places = sorted(m for cue in cues if cue in low for m in _finds(low, cue))
     if not places:
         return []
     out: list[tuple[int, int]] = []
@@ -124,6 +140,11 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _default_cues() -> tuple[str, ...]:
+    return cues(default_templates())
+
+
 def _finds(text: str, cue: str):
     at = text.find(cue)
     while at >= 0:
@@ -158,6 +179,7 @@ class Scanner:
         self.bags = [Counter(own) for _, _, own in self.templates]
         self.all_of = lru_cache(maxsize=20_000)(self._all_of)
         self.judge = self._judge
+        self.cues = cues(templates)
 
     def savings(self, block: str) -> tuple[int, list[int]]:
         """Compressed size of a block, and the bytes that each template saves."""
@@ -165,18 +187,20 @@ class Scanner:
         alone = len(self.plain.compress(data))
         return alone, [alone - len(c.compress(data)) for c in self.given]
 
-    def _compare(self, i: int, words: list[str]):
+    def _compare(self, i: int, words: list[str], counts: Counter):
         """(differing words, edits, begin, end) of the words that the template covers, None if it isn't confirmed."""
         own = self.templates[i][2]
         n = len(own)
         if not n or n > len(words) + MOST_DIFFERENT * n:
             return None
         if n < LONG:
+            if not self.bags[i].keys() <= counts.keys():
+                return None
             first = own[0]
             at = next((k for k in range(len(words) - n + 1) if words[k] == first and words[k : k + n] == own), None)
             return None if at is None else (0, [], at, at + n)
         # words that aren't in the block at all differ in any alignment
-        if sum((self.bags[i] - Counter(words)).values()) > MOST_DIFFERENT * n:
+        if sum((self.bags[i] - counts).values()) > MOST_DIFFERENT * n:
             return None
         place = SequenceMatcher(None, own, words, autojunk=False).find_longest_match()
         slack = int(MOST_DIFFERENT * n) + 1
@@ -191,9 +215,9 @@ class Scanner:
 
     def _winner(self, words: list[str], saved: list[int]):
         """The confirmed template that has the most words in the block and the fewest that differ."""
-        found = []
+        found, counts = [], Counter(words)
         for i in range(len(self.templates)):
-            if got := self._compare(i, words):
+            if got := self._compare(i, words, counts):
                 found.append((2 * got[0] - len(self.templates[i][2]), -saved[i], i, got))
         return min(found, key=lambda f: f[:3]) if found else None
 
@@ -229,13 +253,14 @@ class Scanner:
         return None, i, saved[i] / alone, _weight(edits), tuple(edits)
 
     def scan(self, text: str):
-        for start, end in blocks(text):
-            yield (start, end, *self.judge(text[start:end]))
+        for start, end in blocks(text, self.cues):
+            for row in self.all_of(text[start:end]):
+                yield (start, end, *row)
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """A row a candidate block: doc_id, block (from 0), start, length, license (null if none is
-    confirmed), template, saving, differing_words, edits, text."""
+    """A row for each license of a candidate block: doc_id, block (from 0), start, length, license (one row with null if
+    none is confirmed), template, saving, differing_words, edits, text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     templates = default_templates() if templates is None else templates
     names = ["doc_id", "block", "start", "length", "license", "template", "saving", "differing_words", "edits", "text"]
@@ -247,7 +272,9 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None) -
             rows = []
             for i, text in enumerate(b.column("text").to_pylist()):
                 if text:
-                    for k, (start, end, key, template, share, n, edits) in enumerate(scanner.scan(text)):
+                    numbers: dict[int, int] = {}
+                    for start, end, key, template, share, n, edits in scanner.scan(text):
+                        k = numbers.setdefault(start, len(numbers))
                         rows.append((i, k, start, end - start, key, template, share, n, list(edits), text[start:end]))
             if rows:
                 columns = [b.column("doc_id").take(pa.array([r[0] for r in rows])), *[pa.array([r[c] for r in rows], kinds[c]) for c in range(1, len(names))]]

@@ -66,3 +66,21 @@ def test_statement_in_a_longer_block():
     alone, saved = scanner.savings(text)
     assert max(saved) / alone < 0.2
     assert [r[2] for r in scanner.scan(text)] == ["MIT"]
+
+
+def test_every_template_is_found_in_a_text(spark):
+    filler = "River stones were green. The window of the house was open; nobody came.\n"
+    rows = [(i, filler * 3 + text + "\n" + filler * 3) for i, (_, text) in enumerate(op.default_templates())]
+    found = op.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.differing_words) for r in found) == [(i, key, 0) for i, (key, _) in enumerate(op.default_templates())]
+
+
+def test_all_licenses_of_a_block():
+    scanner = op.Scanner(op.default_templates())
+    text = "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\n"
+    assert sorted(r[2] for r in scanner.scan(text)) == ["Apache-2.0", "MIT"]
+    text = MIT + "\n" + op.TEXTS["GPL-3.0"].replace("hope", "wish") + "\nReleased under the CC0 1.0."
+    got = [r[2] for r in scanner.scan(text)]
+    assert len(op.blocks(text)) == 1 and sorted(got) == ["CC0-1.0", "GPL-3.0", "MIT"]
+    twice = "Released under the MIT License. Some words.\nReleased under the MIT License."
+    assert [r[2] for r in scanner.scan(twice)] == ["MIT", "MIT"]
