@@ -32,10 +32,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def given_folder(spark: SparkSession) -> str | None:
+    """The session's ``spark.checkpoint.dir``. It may be unset on one machine only."""
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir")
+    if not given and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return given
+
+
 def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        sc.setCheckpointDir(given_folder(spark) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -63,6 +72,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(documents: DataFrame, *names: str) -> DataFrame:
+    """(names, row): some columns, and the whole row as one, so that no name of the caller's clashes with ours."""
+    return documents.select(*names, F.struct(*[F.col(quoted(c)) for c in documents.columns]).alias("row"))
+
+
+def unpacked(columns: list[str], **changed) -> list:
+    """The columns of a packed row, by their names and in their order; ``changed`` are others for some of them."""
+    return [changed.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in columns]
+
+
 def ascii_lower(col):
     """A-Z only; other letters keep their case."""
     return F.translate(col, _UPPER, _UPPER.lower())
@@ -91,20 +114,33 @@ def _byte_values() -> np.ndarray:
     return np.stack([plain, folded])
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, inverse: bool) -> np.ndarray:
+_BLOCK = 1 << 16
+
+
+@lru_cache(maxsize=2)
+def _powers(inverse: bool) -> np.ndarray:
+    """The base's powers from 0 to one block, or those of its inverse."""
     base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
+    out = np.ones(_BLOCK, dtype=np.uint64)
     filled = 1
     with np.errstate(over="ignore"):
-        while filled < n:
-            take = min(filled, n - filled)
-            out[filled : filled + take] = out[:take] * np.uint64(pow(base, filled, 1 << 64))
-            filled += take
+        while filled < _BLOCK:
+            out[filled : 2 * filled] = out[:filled] * np.uint64(pow(base, filled, 1 << 64))
+            filled *= 2
     return out
 
 
+def _unpowered(places: np.ndarray) -> np.ndarray:
+    """The inverse base to the power of each place."""
+    low = _powers(True)
+    step = pow(pow(_BASE, -1, 1 << 64), _BLOCK, 1 << 64)
+    high = np.ones((int(places.max()) >> 16) + 1 if len(places) else 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(1, len(high)):
+            high[i] = high[i - 1] * np.uint64(step)
+        return low[places & (_BLOCK - 1)] * high[places >> 16]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finisher, so that all bits of a polynomial hash depend on all of its input."""
     with np.errstate(over="ignore"):
@@ -113,23 +149,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def power_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash (mod 2**64, then mixed) of values[start:end] for every pair; one pass of sums."""
-    n = 1 << max(10, int(len(values) + 1).bit_length())
+def power_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hash (mod 2**64, then mixed) of values[start:end] for every pair; one pass of sums.
+
+    ``table``: the values are bytes and stand for its entries; starts and ends are sorted then, and what is
+    held besides them is a block of sums, however long the values are.
+    """
+    power, total = _powers(False), np.uint64(0)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64) if table is None else None
+    at = [np.zeros(len(starts), dtype=np.uint64), np.zeros(len(ends), dtype=np.uint64)]
     with np.errstate(over="ignore"):
-        sums = np.empty(len(values) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(values * _powers(n, False)[: len(values)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * _powers(n, True)[starts] + (ends - starts).astype(np.uint64))
+        for low in range(0, len(values), _BLOCK):
+            part = values[low : low + _BLOCK] if table is None else table[values[low : low + _BLOCK]]
+            own = np.cumsum(part * power[: len(part)]) * np.uint64(pow(_BASE, low, 1 << 64)) + total
+            total = own[-1]
+            if sums is not None:
+                sums[low + 1 : low + 1 + len(part)] = own
+                continue
+            for places, found in zip((starts, ends), at, strict=True):
+                i, j = np.searchsorted(places, (low + 1, low + len(part) + 1))
+                found[i:j] = own[places[i:j] - (low + 1)]
+        left, right = at if sums is None else (sums[starts], sums[ends])
+        return mix64((right - left) * _unpowered(starts) + (ends - starts).astype(np.uint64))
 
 
 def drop_one_hashes(values: np.ndarray, start: int, end: int) -> np.ndarray:
     """``power_hash`` of values[start:end] without its first, its second, ..., its last value."""
     own = values[start:end]
-    n = 1 << max(10, len(own).bit_length())
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _powers(n, False)[: len(own)])])
-        left = sums[:-1] + (sums[-1] - sums[1:]) * _powers(n, True)[1]
+        step = np.array([pow(_BASE, low, 1 << 64) for low in range(0, max(len(own), 1), _BLOCK)], dtype=np.uint64)
+        power = (step[:, None] * _powers(False)[: min(len(own), _BLOCK)]).ravel()[: len(own)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power)])
+        left = sums[:-1] + (sums[-1] - sums[1:]) * _powers(True)[1]
         return mix64(left + np.uint64(len(own) - 1))
 
 
@@ -146,13 +197,17 @@ class Words:
         self.data = np.frombuffer(self.buf, dtype=np.uint8)
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         at = np.concatenate([[0], np.cumsum(lengths + 1)])
-        solid = ~gap[self.data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], solid]).view(np.int8)))
-        self.start, self.end = edge[0::2], edge[1::2]
+        edges, before = [np.zeros(0, dtype=np.int64)], False
+        for low in range(0, len(self.data), _BLOCK):  # the last byte is between words, so that each word ends
+            solid = np.concatenate([[before], ~gap[self.data[low : low + _BLOCK]]])
+            edges.append(np.flatnonzero(solid[1:] != solid[:-1]) + low)
+            before = solid[-1]
+        edge = np.concatenate(edges)
+        self.start, self.end = edge[0::2].copy(), edge[1::2].copy()
         self.first = np.searchsorted(self.start, at)
 
     def hashes(self, fold: bool) -> np.ndarray:
-        return power_hash(_byte_values()[int(fold)][self.data], self.start, self.end)
+        return power_hash(self.data, self.start, self.end, _byte_values()[int(fold)])
 
     def owner(self) -> np.ndarray:
         """The text of each word."""

@@ -1,35 +1,46 @@
-"""Near-duplicate documents by exact similarity of their five-word shingles, as the corpus pipeline needs them.
+"""Near-duplicate documents by similarity of their five-word shingles, as the corpus pipeline needs them.
 
 Words are those of op3: runs of other bytes than space and 0x09-0x0D, A-Z lower-cased. A document is
 the set of its runs of five words (all its words if fewer; one fixed shingle if it has none), each as
 a 64-bit hash. Two documents are near if their sets have a Jaccard similarity of 0.8 or more, and
-groups are the connected components of that.
-
-Search: no pair is lost. Documents with equal sets are one node. The shingles of a set of k are put
-in one order for all sets, those frequent in a sample last; the sets of a near pair share at least
-t = ceil(0.8 k) shingles, so that the first ``SHARED`` of these stand among the first
-k - t + SHARED of both. Nodes whose least hash is equal are compared with the smallest of them first,
-and what that links needs no more comparison: pairs of different components so far that share enough
-of their first shingles are counted by a join, and verified by their whole sets.
+groups are the connected components of that. Documents with equal sets are one node.
+
+1. Golay search: a node's SimHash is that of its set. Fingerprints within 2 bits meet by op3's keys,
+   and what they propose is verified by the whole sets.
+2. A SimHash can't promise more: at 0.8 two fingerprints differ by 9.7 of 64 bits on average. So what
+   the keys can't reach is found by an exact search. The shingles of a set of k are put in one order
+   for all sets; the sets of a near pair share at least t = ceil(0.8 k) shingles, so that the first
+   ``SHARED`` of these stand among the first k - t + SHARED of both.
+   The order: shingles that were among the first ones of over ``OFTEN`` rows by plain order stand last,
+   by that count. They are a table, found and joined, never gathered; the sets that had one among
+   their first are ordered anew.
+3. Of each first shingle, every node is compared with the smallest node that has it, which links large
+   groups at the cost of a row each. Then pairs of different components that share enough of their
+   first shingles are counted by a join. Shingles of one component only take no part. Pairs are
+   verified by their whole sets.
 
 Defined cases are those of op3: repeated rows are copies of each other, null ids are grouped too,
-null texts are texts without words, and an empty table gives an empty result.
+null texts are texts without words, very long texts are taken whole (a task holds one text's shingles,
+eight bytes a word), and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpoint, components, discard, gram_hashes, mix64, saved, slices
+from . import op3_simhash
+from .common import Words, components, discard, gram_hashes, mix64, saved, slices
 
 WORDS = 5
 #: Shingles that a pair must share among the first ones of both, where its sets are large enough.
 SHARED = 3
-#: Documents in the sample that says which shingles are frequent, and shingles that are put last.
-SAMPLE, MOST_FREQUENT = 20_000, 200_000
+#: Rows that have a shingle among their first ones, beyond which it's put last.
+OFTEN = 16
+#: Such shingles that are broadcast to the join that finds them in whole sets (16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def shingle_sets(texts: list[bytes | None]):
@@ -57,64 +68,80 @@ def first_count(k: int) -> int:
     return k - least + min(SHARED, least)
 
 
-def _mapped(documents: DataFrame, kept: list[str], schema: str, make) -> DataFrame:
-    """Rows of ``make`` (from each batch's sets) with the columns ``kept`` of the row that each came from."""
+def simhash(shingles: np.ndarray) -> int:
+    """64 bits, each one set if it is set in over half of the shingles; as a signed long."""
+    count = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(shingles), 50_000):  # a long text in parts of bounded memory
+        count += np.unpackbits(shingles[i : i + 50_000].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def _mapped(texts: DataFrame, kept: list[str], schema: str, make) -> DataFrame:
+    """Rows of ``make`` (from each batch and its sets) with the columns ``kept`` of the row that each came from."""
 
     def run(batches):
         for b in batches:
-            at, columns = make(shingle_sets(b.column("text").cast(pa.binary()).to_pylist()))
+            at, columns = make(b, shingle_sets(b.column("text").cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at)) for c in kept], *columns], names=names)
 
     names = [part.split()[0] for part in schema.split(", ")]
-    return documents.select(*kept, "text").mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
+
+
+_NONE = np.zeros(0, dtype=np.int64)
 
 
 def nodes_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, th, node, k, least) for every row: the text's xxhash64, the set's hash, size and least shingle."""
+    """(doc_id, th, node, k, fp) for every row: the text's xxhash64, the set's hash, size and SimHash."""
 
-    def make(sets):
-        values = np.array([(node_of(s), len(s), s[:1].view(np.int64)[0]) for s in sets], dtype=np.int64).reshape(-1, 3)
+    def make(_, sets):
+        values = np.array([(node_of(s), len(s), simhash(s)) for s in sets], dtype=np.int64).reshape(-1, 3)
         return np.arange(len(values)), [pa.array(np.ascontiguousarray(c)) for c in values.T]
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return _mapped(documents.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"], f"doc_id {kind}, th long, node long, k long, least long", make)
+    texts = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return _mapped(texts, ["doc_id", "th"], f"doc_id {kind}, th long, node long, k long, fp long", make)
+
+
+def _columns(parts: list[tuple[np.ndarray, int, int]]) -> list[pa.Array]:
+    """(shingle, node, k) columns of (shingles, node, k) of several sets."""
+    n = [len(p[0]) for p in parts]
+    out = [np.concatenate([_NONE, *[p[0] for p in parts]]), *[np.repeat(np.array([p[j] for p in parts], dtype=np.int64), n) for j in (1, 2)]]
+    return [pa.array(c) for c in out]
 
 
-def frequent(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of three or more texts of a sample, sorted, and how many hold each; any choice is right, this one is quick."""
-    n = documents.count()
-    part = documents.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(n, 1))) + 1)
+def first_shingles(texts: DataFrame, later: bool = False) -> DataFrame:
+    """(shingle, node, k): the first shingles of each set, those that the column ``last`` names at the end if ``later``."""
 
-    def make(sets):
-        values = np.concatenate([np.zeros(0, dtype=np.uint64), *sets])
-        return np.zeros(0, dtype=np.int64), [pa.array(values.view(np.int64))]
+    def make(batch, sets):
+        last = batch.column("last").to_pylist() if later else []
+        out = []
+        for i, s in enumerate(sets):
+            order = s
+            if later and last[i]:
+                seen = np.zeros(len(s), dtype=np.int64)
+                seen[np.searchsorted(s, np.array([x["shingle"] for x in last[i]], dtype=np.int64).view(np.uint64))] = [x["n"] for x in last[i]]
+                order = s[np.lexsort((s, seen))]
+            out.append((order[: first_count(len(s))].view(np.int64), node_of(s), len(s)))
+        return _NONE, _columns(out)
 
-    counted = _mapped(part.select("text").distinct(), [], "shingle long", make).groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
-    shingles, counts = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], counts[order]
+    return _mapped(texts.select("text", *(["last"] if later else [])), [], "shingle long, node long, k long", make)
 
 
-def first_shingles(documents: DataFrame) -> DataFrame:
-    """(shingle, node, k): the first shingles of each set in the common order."""
-    given = documents.sparkSession.sparkContext.broadcast(frequent(documents))
+def all_shingles(texts: DataFrame) -> DataFrame:
+    """(shingle, node, k): every shingle of each set."""
 
-    def make(sets):
-        known, counts = given.value
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
-        for s in sets:
-            seen = np.zeros(len(s), dtype=np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                seen = np.where(known[at] == s, counts[at], 0)
-            own = s[np.lexsort((s, seen))[: first_count(len(s))]].view(np.int64)
-            out[0].append(own)
-            out[1].append(np.full(len(own), node_of(s), dtype=np.int64))
-            out[2].append(np.full(len(own), len(s), dtype=np.int64))
-        return np.zeros(0, dtype=np.int64), [pa.array(np.concatenate(c)) for c in out]
+    def make(_, sets):
+        return _NONE, _columns([(s.view(np.int64), node_of(s), len(s)) for s in sets])
 
-    return _mapped(documents, [], "shingle long, node long, k long", make)
+    return _mapped(texts.select("text"), [], "shingle long, node long, k long", make)
+
+
+def _texts(documents: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """(text, *more) of the row that stands for each of ``nodes`` (at, *more); a repeated row comes as often as it is there."""
+    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    wanted = nodes.select(F.col("at.doc_id").alias("of"), F.col("at.th").alias("tx"), *more)
+    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("tx"))).select("text", *more)
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,48 +161,89 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _sets(documents: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, shingles) for each node of the pairs, from one of its rows."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    one = saved(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("_th")).select("_th").distinct())
-    # written first, so that its size is known, and all texts are sent around only where it is large
-    texts = documents.select("text").join(one, F.xxhash64("text") == F.col("_th"), "left_semi")
+def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The near ones of the proposed pairs (u, v)."""
 
-    def make(sets):
+    def make(_, sets):
         sets = list(sets)
-        return np.zeros(0, dtype=np.int64), [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        return _NONE, [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
-    return saved(_mapped(texts, [], "node long, shingles array<long>", make).dropDuplicates(["node"]))
+    pairs = saved(pairs)
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    # written first, so that its size is known, and all texts are sent around only where it is large
+    chosen = saved(nodes.join(wanted, "node", "left_semi").select("at"))
+    sets = saved(_mapped(_texts(documents, chosen), [], "node long, shingles array<long>", make).dropDuplicates(["node"]))
+    out = saved(_near(pairs, sets))
+    for df in (sets, chosen, pairs):
+        discard(df)
+    return out
 
 
-def _edges(documents: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    sets = _sets(documents, rows, pairs)
-    out = saved(_near(pairs, sets))
-    discard(sets)
+def golay_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) that connect all nodes with fingerprints within op3's radius."""
+    heads = saved(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    return same.union(op3_simhash.links(heads.withColumnRenamed("head", "node")).select("u", "v"))
+
+
+def _held(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(shingle, node, k): the first shingles of all nodes that others may have among theirs."""
+    firsts = saved(first_shingles(documents))
+    counts = saved(firsts.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a < b").select("shingle", "n"))
+    often = saved(counts.filter(F.col("n") > OFTEN))
+    moved = saved(firsts.join(often, "shingle", "left_semi").select("node").distinct())
+    texts = _texts(documents, saved(nodes.join(moved, "node", "left_semi").select("at", "node")), "node")
+    found = all_shingles(texts).join(F.broadcast(often) if often.count() <= MOST_BROADCAST else often, "shingle")
+    last = found.distinct().groupBy("node").agg(F.collect_list(F.struct("shingle", "n")).alias("last"))
+    texts = _texts(documents, saved(nodes.join(last, "node").select("at", "last")), "last")
+    anew = saved(first_shingles(texts, later=True).distinct())
+    keys = saved(counts.select("shingle").union(anew.select("shingle")).distinct())
+    stay = firsts.join(keys, "shingle", "left_semi").join(moved, "node", "left_anti").distinct()
+    held = saved(stay.unionByName(anew))
+    for df in (firsts, counts, often, moved, anew, keys):
+        discard(df)
+    out = _of_several(held, "node")
+    discard(held)
     return out
 
 
+def _of_several(rows: DataFrame, column: str) -> DataFrame:
+    """The rows of the shingles that have more than one value of ``column``."""
+    several = saved(rows.groupBy("shingle").agg(F.min(column).alias("a"), F.max(column).alias("b")).filter("a < b").select("shingle"))
+    return saved(rows.join(several, "shingle", "left_semi"))
+
+
+def _in_components(held: DataFrame, linked: DataFrame) -> DataFrame:
+    """``held`` with each node's component ``c``, of the shingles that more than one component has."""
+    at = held.join(linked, "node", "left").select("shingle", "node", "k", F.coalesce("component", "node").alias("c"))
+    return _of_several(saved(at), "c")
+
+
+def _shared_enough(met: DataFrame) -> DataFrame:
+    """(u, v) of the rows (u, v, ku, kv), one a first shingle that both have, that can be near."""
+    enough = F.least(F.lit(SHARED), F.expr("(4 * least(ku, kv) + 4) div 5"))
+    met = met.filter("5 * ku >= 4 * kv and 5 * kv >= 4 * ku")
+    return met.groupBy("u", "v", "ku", "kv").agg(F.count("*").alias("n")).filter(F.col("n") >= enough).select("u", "v")
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, th, component_id) for every row: the smallest id of its group, null if all are null."""
-    rows = checkpoint(nodes_of(documents))
-    firsts = first_shingles(documents).withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
-    held = saved(firsts.filter("n > 1").drop("n").distinct())
+    rows = saved(nodes_of(documents))
+    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.min("fp").alias("fp")))
+    edges = _verified(documents, nodes, golay_pairs(nodes).distinct())
 
-    least = rows.select("node", "least").distinct()
-    heads = least.groupBy("least").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").select("least", "v")
-    stars = checkpoint(least.join(heads, "least").filter("node <> v").select(F.col("node").alias("u"), "v"))
-    edges = _edges(documents, rows, stars)
-    linked = components(edges).withColumnRenamed("component", "c")
+    held = _held(documents, nodes)
+    at = _in_components(held, components(edges))
+    head = saved(at.groupBy("shingle").agg(F.min(F.struct("node", "k", "c")).alias("h")))
+    stars = at.join(head, "shingle").filter("c <> h.c").select(F.col("node").alias("u"), F.col("h.node").alias("v"), F.col("k").alias("ku"), F.col("h.k").alias("kv"))
+    edges = saved(edges.union(_verified(documents, nodes, _shared_enough(stars))))
 
-    at = held.join(linked, "node", "left").select("shingle", "node", "k", F.coalesce("c", "node").alias("c"))
+    at = _in_components(held, components(edges))
     a = at.select("shingle", F.col("node").alias("u"), F.col("k").alias("ku"), F.col("c").alias("cu"))
     b = at.select("shingle", F.col("node").alias("v"), F.col("k").alias("kv"), F.col("c").alias("cv"))
-    met = a.join(b, "shingle").filter("u < v and cu <> cv and 5 * ku >= 4 * kv and 5 * kv >= 4 * ku")
-    enough = F.least(F.lit(SHARED), F.expr("(4 * least(ku, kv) + 4) div 5"))
-    pairs = saved(met.groupBy("u", "v", "ku", "kv").agg(F.count("*").alias("n")).filter(F.col("n") >= enough).select("u", "v"))
-    discard(held)
-    found = components(edges.union(_edges(documents, rows, pairs)))
+    pairs = a.join(b, "shingle").filter("u < v and cu <> cv and 5 * ku >= 4 * kv and 5 * kv >= 4 * ku")
+    found = components(edges.union(_verified(documents, nodes, _shared_enough(pairs))))
 
     named = rows.join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
-    smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    smallest = saved(named.groupBy("c").agg(F.min("doc_id").alias("component_id")))
     return named.join(smallest, "c").select("doc_id", "th", "component_id")

@@ -15,7 +15,9 @@ the similarity of the others is 0. The index is broadcast with the function; it
 
 Defined cases: null and empty texts hold nothing; items that are null or have fewer than five words
 have no shingle and match nothing; equal items are each reported; repeated documents are reported as
-often as they occur; empty tables give an empty result; further columns are ignored.
+often as they occur; empty tables give an empty result; further columns, whatever their names, are
+ignored by ``leaks`` and kept by ``clean``. A very long text is searched whole: its word and shingle
+hashes are held (8 bytes each), its windows only in pieces of 4,096 places.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix64, slices, table
+from .common import Words, gram_hashes, mix64, packed, slices, table, unpacked
 
 SHINGLE, SIMILAR, RADIUS, BLOCKS = 5, 0.8, 19, 4
 #: Items that one pass looks for; a pass's index takes about 50 KB an item.
@@ -175,9 +177,8 @@ class Index:
 
     def _of_size(self, one, n, shingles, begin, starts):
         best: dict[int, tuple[float, int]] = {}
-        for part in np.split(starts, np.arange(4096, len(starts), 4096)):
-            if not len(part):
-                continue
+        # pieces of neighbouring starts, so that a text's far ends aren't held together
+        for part in np.split(starts, np.flatnonzero(np.diff((starts - begin) >> 12)) + 1):
             window, item = one.candidates(window_fingerprints(shingles, part, one.count))
             for i in np.unique(item).tolist():
                 s = part[window[item == i]]
@@ -224,8 +225,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, most_items: int = MOST_ITE
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, unchanged, with all their columns; rows of a null id are judged as one."""
-    found = leaks(documents, benchmark).select(F.col("doc_id").alias("_leaky")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_leaky")), "left_anti")
+    found = leaks(documents, benchmark).select(F.col("doc_id").alias("leaky")).distinct()
+    rows = packed(documents, "doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("leaky")), "left_anti")
+    return rows.select(*unpacked(documents.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import checkpoint, components, table
+from .common import checkpoint, components, discard, packed, saved, table, unpacked
 
 WORDS, SEED, RADIUS = 3, 42, 2
 #: Buckets with more distinct fingerprints than this go the way of shared 1-bit neighbours.
@@ -113,15 +113,17 @@ def _forests(buckets: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """Edges (u, v) between ``nodes`` (fp, node: one row a fingerprint) that connect all within 2 bits."""
-    keys = _bucket_keys(nodes.filter("node is not null"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = checkpoint(keys.join(shared, "bucket"))
+    # key tables are written before they are joined: straight from their exchange, Spark splits those of hot keys
+    keys = saved(_bucket_keys(nodes.filter("node is not null")))
+    shared = saved(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = saved(keys.join(shared, "bucket"))
+    discard(keys)
     small = members.filter(F.col("n") <= most_in_bucket).groupBy("bucket").agg(F.collect_list(F.struct("fp", "node")).alias("m"))
     edges = _forests(small.select(F.col("m.fp").alias("fps"), F.col("m.node").alias("nodes")))
     large = members.filter(F.col("n") > most_in_bucket).select("fp", "node").distinct()
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)))
-    variants = large.select("node", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
-    least = variants.groupBy("near").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    variants = saved(large.select("node", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("near")))
+    least = saved(variants.groupBy("near").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     stars = variants.join(least, "near").select(F.col("node").alias("u"), F.col("least").alias("v"))
     return edges.unionByName(stars.filter("u <> v").distinct())
 
@@ -142,14 +144,14 @@ def representatives(documents: DataFrame, grouped: DataFrame | None = None) -> D
     repeated stays once. Where all ids of a group are null, one row of each text stays.
     """
     found = (groups(documents) if grouped is None else grouped).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = checkpoint(found.groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.count("*").alias("_n")))
-    rows = documents.withColumn("_tx", F.xxhash64("text"))
-    once, often = found.filter("_n = 1"), found.filter("_n > 1")
-    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_tx") == F.col("_th"))
+    found = saved(found.groupBy(F.col("doc_id").alias("of"), "th").agg(F.count("*").alias("n")))
+    rows = packed(documents, "doc_id").withColumn("tx", F.xxhash64("row.text"))
+    once, often = found.filter("n = 1"), found.filter("n > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tx") == F.col("th"))
     out = rows.join(once, same, "left_semi")
     if not often.isEmpty():
-        out = out.unionByName(rows.join(often, same, "left_semi").dropDuplicates(["doc_id", "_tx"]))
-    return out.select(*documents.columns)
+        out = out.unionByName(rows.join(often, same, "left_semi").dropDuplicates(["doc_id", "tx"]))
+    return out.select(*unpacked(documents.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ its letters' positions.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; so is everything if no
 labelled row is left to learn from; with one language, that language. Repeated rows are predicted
-alike; a null id is not held out but never trained on either; an empty table gives an empty result.
+alike; a null id is not held out but never trained on either; an empty table gives an empty result;
+very long texts are labelled whole, in batches of pieces; further columns, whatever their names, are
+ignored by the query and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bucket_of, slices, table
+from .common import bucket_of, packed, slices, table, unpacked
 
 FOLDS, HELD_OUT = 4, 2
 #: Bound of the training sample, in documents; and what is cut from each: pieces of so many bytes.
@@ -253,7 +256,6 @@ def learn(documents: DataFrame, most: int = SAMPLE, **options) -> tuple[list[str
 
 def predict(documents: DataFrame, langs: list[str], weights: dict | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, *keep) for every row; only the text decides."""
-    kinds = {c: documents.schema[c].dataType.simpleString() for c in ("doc_id", *keep)}
 
     def run(batches):
         for b in batches:
@@ -268,18 +270,17 @@ def predict(documents: DataFrame, langs: list[str], weights: dict | None, keep:
                     score[use] = np.clip(prob[np.arange(len(use)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(label.tolist(), pa.string()), pa.array(score), *[b.column(f"_{c}") for c in keep]], names=["doc_id", "lang_pred", "score", *keep])
 
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", "lang_pred string", "score double", *[f"`{c}` {kinds[c]}" for c in keep]])
+    schema = StructType([documents.schema["doc_id"], *StructType.fromDDL("lang_pred string, score double"), *[documents.schema[c] for c in keep]])
     return documents.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in keep]).mapInArrow(run, schema)
 
 
-def accepted(documents: DataFrame, columns: list[str], least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose text has a language that the model is sure enough of, with ``columns`` only."""
-    rows = documents.select("doc_id", "text", F.struct(*columns).alias("row"))
+def accepted(documents: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose text has a language that the model is sure enough of, with their columns as they are."""
     langs, weights = learn(documents)
-    found = predict(rows, langs, weights, keep=("row",))
     if weights is None:
-        return documents.select(*columns).limit(0)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+        return documents.limit(0)
+    found = predict(packed(documents, "doc_id", "text"), langs, weights, keep=("row",))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*unpacked(documents.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

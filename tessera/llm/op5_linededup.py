@@ -16,7 +16,8 @@ floor((n - 1) / 2)), so only lines that share such a half with another emit thei
 Defined cases: null text has no lines and stays null; an empty text is one line without words; rows
 that repeat an id and a text are one document; of rows with one id and several texts, the hash of the
 text orders them; a null id comes before all others; an empty table gives an empty result; further
-columns are kept by ``deduplicated`` as they are.
+columns, whatever their names, are kept by ``deduplicated`` as they are; a very long text or line is
+taken whole (a task holds one text's word hashes, and one line's variants, 12 bytes a word).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, drop_one_hashes, mix64, power_hash, saved, slices, table
+from .common import Words, discard, drop_one_hashes, mix64, packed, power_hash, saved, slices, table, unpacked
 
 #: Lines with fewer words are removed only if equal to an earlier one.
 LEAST_WORDS = 8
@@ -104,10 +105,11 @@ def removed_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     distinct = saved(lines.groupBy("h", "n", *halves).agg(F.min(position).alias("at"), F.count("*").alias("c")))
 
     each = distinct.select("h", F.explode(F.array_distinct(F.array_compact(F.array(*halves)))).alias("half"))
-    shared = each.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    suspects = each.join(shared, "half", "left_semi").select("h").distinct()
+    # what a key table is joined with is written first too: straight from their exchanges, hot keys can be split
+    shared = saved(each.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half"))
+    found = each.join(shared, "half", "left_semi").select("h").distinct()
     # ids that grow with the position, so that the least id is the earliest line
-    suspects = saved(distinct.join(suspects, "h", "left_semi").select("h", "at").orderBy("at").withColumn("rank", F.monotonically_increasing_id()))
+    suspects = saved(distinct.join(found, "h", "left_semi").select("h", "at").orderBy("at").withColumn("rank", F.monotonically_increasing_id()))
 
     asked = suspects.groupBy(F.col("at.doc_id").alias("of"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("at.line", "h", "rank")).alias("lines"))
     texts = documents.select("doc_id", F.xxhash64("text").alias("tx"), F.col("text").cast("binary").alias("text"))
@@ -115,20 +117,23 @@ def removed_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     joined = joined.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tx") == F.col("th")))
     around = saved(_neighbourhoods(joined))
 
-    met = around.groupBy("variant").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).filter("a < b").select("variant")
+    met = saved(around.groupBy("variant").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).filter("a < b").select("variant"))
     close = saved(around.join(met, "variant", "left_semi"))
     discard(around)
     # one length: the same place; lengths that differ by one: the shorter line is whole
-    same = close.filter("place >= 0").groupBy("variant", "place").agg(F.min("rank").alias("first"))
+    same = saved(close.filter("place >= 0").groupBy("variant", "place").agg(F.min("rank").alias("first")))
     late = close.join(same, ["variant", "place"]).filter("first < rank").select("rank")
     for asks, has in (("place >= 0", "place < 0"), ("place < 0", "place >= 0")):
-        first = close.filter(has).groupBy("variant").agg(F.min("rank").alias("first"))
+        first = saved(close.filter(has).groupBy("variant").agg(F.min("rank").alias("first")))
         late = late.union(close.filter(asks).join(first, "variant").filter("first < rank").select("rank"))
     late = suspects.join(late.distinct(), "rank", "left_semi").select("h", F.lit(True).alias("late"))
 
-    known = distinct.select("h", "c", F.col("at").alias("first")).join(late, "h", "left").filter("c > 1 or late")
+    known = saved(distinct.select("h", "c", F.col("at").alias("first")).join(late, "h", "left").filter("c > 1 or late"))
     found = lines.select("h", "doc_id", "th", "line").join(known, "h")
-    return saved(found.filter(F.col("late").isNotNull() | (F.col("first") < position)).select("doc_id", "th", "line"))
+    out = saved(found.filter(F.col("late").isNotNull() | (F.col("first") < position)).select("doc_id", "th", "line"))
+    for df in (lines, distinct, suspects, close, known):
+        discard(df)
+    return out
 
 
 def _repeats(documents: DataFrame) -> bool:
@@ -136,23 +141,28 @@ def _repeats(documents: DataFrame) -> bool:
     return not documents.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
-def deduplicated(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Every row with its kept lines as ``text``, and ``_n_lines``, ``_n_removed`` besides its columns."""
-    gone = removed_lines(documents, least).groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_gone"))
-    rows = documents.withColumn("_tx", F.xxhash64("text"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_tx") == F.col("_th")), "left")
+def judged(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(row, text, n_lines, n_removed): every row as a struct, its kept lines, and how many it had and lost."""
+    gone = removed_lines(documents, least).groupBy(F.col("doc_id").alias("of"), "th").agg(F.collect_set("line").alias("gone"))
+    rows = packed(documents, "doc_id", "text").withColumn("tx", F.xxhash64("text"))
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tx") == F.col("th")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).cast("long").alias("_n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.col("_n_removed")).cast("long").alias("_n_removed"))
+    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return rows.select("row", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def deduplicated(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Every row with its kept lines as ``text``; its other columns as they are."""
+    return judged(documents, least).select(*unpacked(documents.columns, text=F.col("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    df = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return df.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), digest.alias("kept_sha256"))
+    return df.select("row.doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
 ORACLE = r"""

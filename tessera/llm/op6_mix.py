@@ -7,8 +7,8 @@ repetitions first, then a seeded run of its words for the fraction, rounded up o
 document's own draw, so a source's sum is off by rounding only, however few documents it has.
 
 Defined cases: null text has size 0 and is taken 0 times; an empty table gives an empty result;
-repeated rows each count; a null id draws as the empty id; further columns are ignored by the plan
-and kept by ``mixed``, whose own two columns (``repetition``, ``words``) replace any of those names.
+repeated rows each count; a null id draws as the empty id; a very long text is one row, as its part is;
+further columns, whatever their names, are ignored by the plan and kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 BUDGET, EPOCHS, SEED = 1.5, 2, 17
@@ -71,21 +71,22 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's whole repetitions, then the part of one more, as rows.
 
     The part is a run of the document's words that starts at a seeded word and goes round its end.
-    Columns: those of ``documents``, then ``repetition`` (from 1) and ``words``.
+    Columns: those of ``documents``, then ``repetition`` (from 1) and ``words``, named ``mix_repetition``
+    or ``mix_words`` where ``documents`` has such a column.
     """
-    names = [c for c in documents.columns if c not in ("repetition", "words")]
-    rows = documents.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in names]).alias("_row"))
+    rows = packed(documents, "doc_id", "source", "text")
     seed = options.get("seed", SEED)
-    got = plan(rows, keep=("_row",), **options).filter("taken > 0")
+    got = plan(rows, keep=("row",), **options).filter("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     got = got.select("*", F.explode(F.sequence(F.lit(1), times)).alias("repetition"))
     left = F.col("taken") - (F.col("repetition") - 1) * F.col("size")
     got = got.withColumn("words", F.least(left, F.col("size")))
-    words = F.regexp_extract_all("_row.text", F.lit(WORD_PATTERN), F.lit(0))
+    words = F.regexp_extract_all("row.text", F.lit(WORD_PATTERN), F.lit(0))
     first = F.least(F.floor(draw(F.col("doc_id"), seed + 1) * F.col("size")), F.col("size") - 1).cast("int") + 1
     run = F.array_join(F.slice(F.concat(words, words), first, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") == F.col("size"), F.col("_row.text")).otherwise(run)
-    return got.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names], "repetition", "words")
+    text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(run)
+    own = [F.col(c).alias(c if c not in documents.columns else f"mix_{c}") for c in ("repetition", "words")]
+    return got.select(*unpacked(documents.columns, text=text), *own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,14 +15,15 @@ windows with the same anchor travel as one passage of 20 to 35 words, first as h
    dealt to shards by anchor. A shard of bounded size sorts its passages by position, streams each
    through the suffix automaton of the earlier ones for matching statistics (the longest match that
    ends at each word), marks windows with a match of 20 words, and then adds the passage to the
-   automaton. Anchors with more than ``HOT`` passages, such as a common line in many contexts, are
-   dealt by single windows instead, of which each has its own key;
+   automaton. Of anchors with more than ``HOT`` passages, such as a common line in many contexts, no
+   task holds all: they are dealt by single windows, whose keys tell equal ones, by a grouped minimum;
 4. marks go back to every occurrence and make spans of words.
 
 Defined cases: null text has no words; a document of fewer than 20 words keeps all; rows that repeat
 an id and a text are one document; of rows with one id and several texts, the hash of the text orders
-them; a null id comes before all others; an empty table gives an empty result; further columns are
-ignored by the query and kept by ``deduplicated``.
+them; a null id comes before all others; an empty table gives an empty result; further columns,
+whatever their names, are ignored by the query and kept by ``deduplicated`` if asked for (not those
+of its own four names); a very long text is taken whole (its word and gram hashes are held, 8 bytes each).
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Words, discard, gram_hashes, power_hash, saved, slices, table
+from .common import Words, discard, gram_hashes, power_hash, quoted, saved, slices, table
 
 WINDOW, ANCHOR = 20, 5
 #: Different passages of one anchor beyond which its windows are dealt one by one.
@@ -153,15 +155,16 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
 
 def _fetched(rows: DataFrame) -> DataFrame:
-    """(shard key, anchor, passage, pos, start, offset, words) of the passages ``asked`` for of each text.
+    """(key, hot, anchor, passage, pos, start, offset, words) of the passages ``asked`` for of each text.
 
-    Passages of hot anchors come as their single windows; offset is the window's place in its passage.
+    Passages of hot anchors come as the hashes (key) of their single windows, without the words; offset is
+    the window's place in its passage. The key of others is their anchor.
     """
 
     def run(batches):
         for b in batches:
             pos, texts, asked = b.column("pos").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist()
-            out: dict[str, list] = {k: [] for k in ("key", "anchor", "passage", "pos", "start", "offset", "words")}
+            out: dict[str, list] = {k: [] for k in ("key", "hot", "anchor", "passage", "pos", "start", "offset", "words")}
             for text, p, want in zip(texts, pos, asked, strict=True):
                 own = text.split()
                 for a in want:
@@ -169,12 +172,12 @@ def _fetched(rows: DataFrame) -> DataFrame:
                     for start, n, k in parts:
                         words = b" ".join(own[start : start + n])
                         key = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "big", signed=True) if a["hot"] else a["anchor"]
-                        for c, v in zip(out, (key, a["anchor"], a["passage"], p, start, k, words), strict=True):
+                        for c, v in zip(out, (key, a["hot"], a["anchor"], a["passage"], p, start, k, None if a["hot"] else words), strict=True):
                             out[c].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.binary())
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return rows.select("pos", "text", "asked").mapInArrow(run, "key long, anchor long, passage long, pos long, start int, offset byte, words binary")
+    return rows.select("pos", "text", "asked").mapInArrow(run, "key long, hot boolean, anchor long, passage long, pos long, start int, offset byte, words binary")
 
 
 def shard_marks(rows: list[tuple]) -> list[tuple[int, int, int]]:
@@ -193,7 +196,7 @@ def shard_marks(rows: list[tuple]) -> list[tuple[int, int, int]]:
 
 
 def _marks(fetched: DataFrame) -> DataFrame:
-    """(anchor, passage, bits), from shards that each hold all passages of some keys."""
+    """(anchor, passage, bits), from shards that each hold all passages of some anchors, ``HOT`` of each at most."""
 
     def run(batches):
         rows, size, key = [], 0, None
@@ -225,11 +228,17 @@ def repeats(documents: DataFrame) -> DataFrame:
     discard(every)
     first = F.min(F.struct("pos", "start")).alias("f")
     kinds = saved(met.groupBy("anchor", "passage", "windows").agg(first, F.count("*").alias("c")).select("anchor", "passage", "windows", "c", "f.pos", "f.start"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("d")).filter("d > 1").select("anchor", (F.col("d") > HOT).alias("hot"))
+    several = saved(kinds.groupBy("anchor").agg(F.count("*").alias("d")).filter("d > 1").select("anchor", (F.col("d") > HOT).alias("hot")))
     asked = kinds.join(several, "anchor").groupBy("pos").agg(F.collect_list(F.struct("anchor", "passage", "start", "windows", "hot")).alias("asked"))
     texts = documents.select("pos", "text").filter("text is not null")
     fetched = saved(_fetched(texts.join(asked, "pos")))
-    marks = saved(_marks(fetched).groupBy("anchor", "passage").agg(F.bit_or("bits").alias("bits")))
+    # a hot anchor's windows are equal if their keys are: all but the first of each are repeats
+    windows = fetched.filter("hot").select("key", "anchor", "passage", "offset", F.struct("pos", "start").alias("place"))
+    earliest = saved(windows.groupBy("key").agg(F.min("place").alias("first")))
+    late = windows.join(earliest, "key").filter("first < place")
+    late = late.select("anchor", "passage", F.call_function("shiftleft", F.lit(1), F.col("offset").cast("int")).alias("bits"))
+    found = _marks(fetched.filter("not hot")).unionByName(late)
+    marks = saved(found.groupBy("anchor", "passage").agg(F.bit_or("bits").alias("bits")))
     discard(fetched)
 
     known = kinds.join(marks, ["anchor", "passage"], "left").filter("c > 1 or bits is not null")
@@ -269,20 +278,21 @@ def kept_words(text: bytes | None, spans: list[dict] | None) -> tuple[int, int,
 
 def deduplicated(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, *keep): every row with the words that stay, joined by a space."""
-    kinds = {c: documents.schema[c].dataType.simpleString() for c in ("doc_id", *keep)}
-    rows, shared = with_position(documents.select("doc_id", F.col("text").cast("binary").alias("text"), *[F.col(c).alias(f"_{c}") for c in keep]))
+    kept = {c: f"kept_{i}" for i, c in enumerate(keep)}
+    rows, shared = with_position(documents.select("doc_id", F.col("text").cast("binary").alias("text"), *[F.col(quoted(c)).alias(k) for c, k in kept.items()]))
     distinct = rows.select("pos", "text")
-    spans = repeats(distinct.dropDuplicates(["pos"]) if shared else distinct).groupBy(F.col("pos").alias("_of")).agg(F.collect_list(F.struct("start", "bits")).alias("_spans"))
+    spans = repeats(distinct.dropDuplicates(["pos"]) if shared else distinct).groupBy(F.col("pos").alias("of")).agg(F.collect_list(F.struct("start", "bits")).alias("spans"))
 
     def run(batches):
         for b in batches:
-            found = [kept_words(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+            found = [kept_words(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
             own = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             own[2] = own[2].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *own, *[b.column(f"_{c}") for c in keep]], names=["doc_id", "n_words", "n_removed", "kept", *keep])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *own, *[b.column(k) for k in kept.values()]], names=["doc_id", "n_words", "n_removed", "kept", *keep])
 
-    joined = rows.join(spans, F.col("pos") == F.col("_of"), "left").select("doc_id", "text", "_spans", *[f"_{c}" for c in keep])
-    return joined.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept string", *[f"`{c}` {kinds[c]}" for c in keep]]))
+    joined = rows.join(spans, F.col("pos") == F.col("of"), "left").select("doc_id", "text", "spans", *kept.values())
+    kinds = StructType([documents.schema["doc_id"], *StructType.fromDDL("n_words long, n_removed long, kept string"), *[documents.schema[c] for c in keep]])
+    return joined.mapInArrow(run, kinds)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

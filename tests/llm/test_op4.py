@@ -68,8 +68,9 @@ def test_held_out_accuracy_and_cases(spark):
     assert by[900] == by[901] == by[902] == ("und", 0.0)
     assert by[904][0] in langs and not op.has_letter(None)
     assert by[903][0] == "de" and by[None][0] == "en" and all(0 <= s <= 1 for _, s in by.values())
-    kept = op.accepted(spark.createDataFrame(rows + odd, SCHEMA), ["doc_id", "lang_pred"])
-    assert kept.columns == ["doc_id", "lang_pred"]
+    df = spark.createDataFrame(rows + odd, SCHEMA)
+    kept = op.accepted(df)
+    assert kept.columns == df.columns
 
 
 def test_nothing_to_learn_from(spark):

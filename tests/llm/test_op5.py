@@ -68,11 +68,11 @@ def test_equal_to_brute_force(spark):
     want = brute(docs)
     rng.shuffle(docs)
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, line int, h int").repartition(5)
-    got = op.deduplicated(df).collect()
-    assert {r.doc_id: r.text for r in got} == want
+    got = op.judged(df).collect()
+    assert {r.row.doc_id: r.text for r in got} == want
     for r in got:
-        total = len(dict(docs)[r.doc_id].split("\n")) if dict(docs)[r.doc_id] is not None else 0
-        assert r._n_lines == total and (r._n_removed == 0 or r._n_removed == total - len(r.text.split("\n")) or not r.text)
+        total = len(dict(docs)[r.row.doc_id].split("\n")) if dict(docs)[r.row.doc_id] is not None else 0
+        assert r.n_lines == total and (r.n_removed == 0 or r.n_removed == total - len(r.text.split("\n")) or not r.text)
 
 
 def test_ids_null_and_repeated(spark):

@@ -74,8 +74,10 @@ def test_join_beyond_the_broadcast(spark, monkeypatch):
 def test_mixed_rows(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     out = op.mixed(df)
-    assert out.columns == ["doc_id", "text", "source", "size", "repetition", "words"]
+    assert out.columns == [*df.columns, "repetition", "mix_words"]
     texts = {(d or 0): t for d, t, _, _, _ in rows()}
+    assert {r.words for r in out.collect()} <= {r.words for r in df.collect()}  # the caller's own column
+    out = out.drop("words").withColumnRenamed("mix_words", "words")
     sums: dict = {}
     for r in out.collect():
         own = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id or 0])
