@@ -11,9 +11,10 @@ from operator import or_
 
 from pyspark.sql import functions as F
 
+from ..markup.jsstrings import SPACES
+
 SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
-ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 #: Characters a token, by block type.
 TOKEN_RATIOS = {"code": 2.5, "table": 3.0, "list": 3.5, "paragraph": 4.0, "blockquote": 4.0, "heading": 4.5, "other": 4.0}
@@ -95,11 +96,11 @@ STRUCTURE_SHARE = 0.3
 
 def js_length(text):
     """Length in UTF-16 units."""
-    return F.length(text) + F.regexp_count(text, F.lit(ASTRAL))
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def js_trim(text):
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def squeeze(text):
@@ -149,8 +150,9 @@ def excerpt(text, size: int):
 
 
 def raw_word_count(text):
-    """Words that aren't empty."""
-    return F.regexp_count(text, F.lit(f"{NOT_SPACE}+")).cast("int")
+    """Words that aren't empty: the pieces, without the empty ones that white space at an end makes."""
+    bare = js_trim(text)
+    return F.when(bare == "", 0).otherwise(split_word_count(bare))
 
 
 def split_word_count(text):

@@ -23,6 +23,8 @@ CLOSED_BY = {
 }
 #: Elements that an implied end doesn't reach out of.
 SCOPES = frozenset("table ul ol dl td th body html blockquote div article section main button select template".split())
+#: Levels of open elements; what is nested deeper stands side by side at the last level, as in browsers.
+MOST_DEPTH = 512
 _HEAD_ONLY = frozenset("base link meta noscript script style template title head html".split())
 
 
@@ -52,6 +54,15 @@ class Node:
                 stack += reversed(c.children)
         return "".join(out)
 
+    def after_children(self):
+        """All elements below and this one, each after those that it holds."""
+        found, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            found.append(node)
+            stack += [c for c in node.children if isinstance(c, Node)]
+        return reversed(found)
+
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
@@ -69,20 +80,21 @@ class _Builder(HTMLParser):
 
     def _ends(self, tag: str) -> None:
         """Close what the start of ``tag`` ends, within the nearest scope."""
-        for k in range(len(self.open) - 1, 0, -1):
+        k = len(self.open) - 1
+        while k > 0:
             name = self.open[k].tag
             if tag in CLOSED_BY.get(name, ()):
                 del self.open[k:]
-                return self._ends(tag)
-            if name in SCOPES:
-                return None
-        return None
+                k = len(self.open)
+            elif name in SCOPES:
+                return
+            k -= 1
 
     def handle_starttag(self, tag, attrs):
         self._ends(tag)
         node = Node(tag, {k: v if v is not None else "" for k, v in attrs}, self.open[-1])
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) <= MOST_DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -123,7 +135,8 @@ def parse(html: str) -> Node:
     if not any(isinstance(c, Node) and c.tag in ("body", "frameset") for c in page.children):
         body = Node("body", parent=page)
         stay = [c for c in page.children if isinstance(c, Node) and c.tag in _HEAD_ONLY]
-        body.children = [c for c in page.children if c not in stay]
+        known = set(map(id, stay))
+        body.children = [c for c in page.children if id(c) not in known]
         for c in body.children:
             if isinstance(c, Node):
                 c.parent = body
@@ -183,5 +196,13 @@ def select(node: Node, selector: str) -> list[Node]:
 
 
 def remove(node: Node, selector: str) -> None:
-    for n in select(node, selector):
-        n.remove()
+    remove_all(select(node, selector))
+
+
+def remove_all(nodes: list[Node]) -> None:
+    """Take elements out of their parents, whose children are gone through once."""
+    gone, parents = set(map(id, nodes)), {id(n.parent): n.parent for n in nodes if n.parent is not None}
+    for p in parents.values():
+        p.children = [c for c in p.children if id(c) not in gone]
+    for n in nodes:
+        n.parent = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from . import dom
 from .dom import Node
@@ -57,6 +58,42 @@ def _result(node: Node, text: str, method: str, **more) -> dict:
     return {"title": None, "text": text, "markdown": markdown, "excerpt": None, "section_paths": [], "structure": structure(markdown), "byline": None, "lang": None, "method": method, "note": None} | more
 
 
+class _Told(NamedTuple):
+    """Of an element's text: length, commas, blanks at its ends, length within links; and whether a scored element is below."""
+
+    length: int = 0
+    commas: int = 0
+    lead: int = 0
+    trail: int = 0
+    linked: int = 0
+    holds_scored: bool = False
+
+    @property
+    def solid(self) -> int:
+        """Length without blanks at the ends."""
+        return max(0, self.length - self.lead - self.trail)
+
+    def then(self, other: _Told) -> _Told:
+        lead = self.lead + other.lead if self.lead == self.length else self.lead
+        trail = self.trail + other.trail if other.trail == other.length else other.trail
+        return _Told(self.length + other.length, self.commas + other.commas, lead, trail, self.linked + other.linked, self.holds_scored or other.holds_scored)
+
+
+def _told(root: Node) -> dict[int, _Told]:
+    """For each element, by its id, from what its children tell: no text is gone through twice."""
+    out: dict[int, _Told] = {}
+    for n in root.after_children():
+        own = _Told()
+        for c in n.children:
+            if isinstance(c, str):
+                own = own.then(_Told(len(c), c.count(","), len(c) - len(c.lstrip()), len(c) - len(c.rstrip())))
+            else:
+                said = out[id(c)]
+                own = own.then(said._replace(linked=said.linked + (said.length if c.tag == "a" else 0), holds_scored=said.holds_scored or c.tag in _SCORED))
+        out[id(n)] = own
+    return out
+
+
 def by_density(html: str) -> dict | None:
     """The element whose paragraphs say most, with its good siblings; None below 500 characters.
 
@@ -68,15 +105,15 @@ def by_density(html: str) -> dict | None:
     headings = _headings(root) or ([title] if title else [])
     dom.remove(root, NOT_TEXT)
     dom.remove(root, "nav, aside, footer, dialog")
-    for n in list(root.walk()):
-        if n.tag not in ("html", "body", "article", "main") and _UNLIKELY.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}") and not _LIKELY.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
-            n.remove()
+    named = lambda n: f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
+    dom.remove_all([n for n in root.walk() if n.tag not in ("html", "body", "article", "main") and _UNLIKELY.search(named(n)) and not _LIKELY.search(named(n))])
+    told = _told(root)
     score: dict[int, list] = {}
     for n in root.walk():
-        text = n.text() if n.tag in _SCORED else ""
-        if len(text.strip()) < 25 or (n.tag in ("div", "section", "article") and any(c.tag in _SCORED for c in n.walk())):
+        said = told[id(n)]
+        if n.tag not in _SCORED or said.solid < 25 or (n.tag in ("div", "section", "article") and said.holds_scored):
             continue
-        own = 1 + text.count(",") + min(len(text) // 100, 3)
+        own = 1 + said.commas + min(said.length // 100, 3)
         up, share = n.parent, 1.0
         for _ in range(2):
             if up is None or up.tag in ("#root", "html"):
@@ -88,12 +125,12 @@ def by_density(html: str) -> dict | None:
         return None
 
     def linked(n: Node) -> float:
-        return sum(len(a.text()) for a in n.walk() if a.tag == "a") / max(len(n.text()), 1)
+        return told[id(n)].linked / max(told[id(n)].length, 1)
 
     best, top = max(((n, s * (1 - linked(n))) for n, s in score.values()), key=lambda x: x[1])
     article = Node("div")
     for c in best.parent.children if best.parent is not None and best.tag != "body" else [best]:
-        if c is best or (isinstance(c, Node) and (score.get(id(c), [0, 0.0])[1] >= max(10, top * 0.2) or (c.tag == "p" and len(c.text()) > 80 and linked(c) < 0.25))):
+        if c is best or (isinstance(c, Node) and (score.get(id(c), [0, 0.0])[1] >= max(10, top * 0.2) or (c.tag == "p" and told[id(c)].length > 80 and linked(c) < 0.25))):
             article.children.append(c)
     text = _squeezed(article.text())
     if size(text) < LEAST_DENSE:
@@ -131,10 +168,7 @@ def extract(html: str | None, clean: str | None = None, title: str | None = None
     html = html or ""
     out = by_density(html)
     if out is None:
-        try:
-            selected = by_selectors(html)
-        except (ValueError, RecursionError):
-            selected = None
+        selected = by_selectors(html)
         if selected is not None and size(selected["text"]) > LEAST_SELECTED:
             out = selected | {"note": "Content was extracted by selectors"}
     if out is None and rendered:

@@ -33,30 +33,54 @@ def _inline(mark: str, inner: str) -> str:
     return f"{lead}{mark}{bare}{mark}{trail}"
 
 
-def _item(node: Node, inner: str) -> str:
+def _item(node: Node, inner: str, places: dict[int, int]) -> str:
+    """A list's item; ``places`` has those of all items of the ordered lists met so far."""
     mark = "-   "
     if node.parent is not None and node.parent.tag == "ol":
-        place = [c for c in node.parent.children if isinstance(c, Node) and c.tag == "li"].index(node)
+        if id(node) not in places:
+            places |= {id(c): k for k, c in enumerate(c for c in node.parent.children if isinstance(c, Node) and c.tag == "li")}
         start = node.parent.attrs.get("start", "")
-        mark = f"{(int(start) if start.isdigit() else 1) + place}.  "
+        mark = f"{(int(start) if start.isdecimal() else 1) + places.get(id(node), 0)}.  "
     return mark + inner.strip().replace("\n", "\n    ") + "\n"
 
 
-def _render(node: Node) -> str:
-    tag = node.tag
-    if tag in DROPPED:
-        return ""
-    if tag == "pre":
+def _leaf(node: Node) -> str:
+    if node.tag == "pre":
         return f"\n\n```{code_language(node)}\n{node.text()}\n```\n\n"
-    if tag == "code":
-        return f"`{node.text()}`" if node.text() else ""
-    inner = "".join(_ESCAPED.sub(r"\\\1", RUN.sub(" ", c)) if isinstance(c, str) else _render(c) for c in node.children)
+    return f"`{node.text()}`" if node.text() else ""
+
+
+def _rendered(node: Node, top=lambda text: RUN.sub(" ", text)) -> str:
+    """The markdown of a node's children; ``top`` treats the text among them. One pass with a stack of open elements."""
+    places: dict[int, int] = {}
+    open_ = [(node, iter(node.children), [])]
+    while True:
+        own, rest, parts = open_[-1]
+        for c in rest:
+            if isinstance(c, str):
+                parts.append(top(c) if len(open_) == 1 else _ESCAPED.sub(r"\\\1", RUN.sub(" ", c)))
+            elif c.tag in ("pre", "code"):
+                parts.append(_leaf(c))
+            elif c.tag not in DROPPED:
+                open_.append((c, iter(c.children), []))
+                break
+        else:
+            open_.pop()
+            inner = "".join(parts)
+            if not open_:
+                return inner
+            open_[-1][2].append(_marked(own, inner, places))
+
+
+def _marked(node: Node, inner: str, places: dict[int, int]) -> str:
+    """An element's markdown around that of its children."""
+    tag = node.tag
     if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         return f"\n\n{'#' * int(tag[1])} {trim(inner)}\n\n" if trim(inner) else ""
     if tag in ("p", "ul", "ol"):
         return f"\n\n{trim(inner)}\n\n"
     if tag == "li":
-        return _item(node, inner)
+        return _item(node, inner, places)
     if tag == "blockquote":
         return "\n\n> " + trim(inner).replace("\n", "\n> ") + "\n\n"
     if tag == "table":
@@ -84,7 +108,7 @@ def tidy(markdown: str) -> str:
 
 def to_markdown(node: Node) -> str:
     """Markdown of what is inside a node."""
-    out = "".join(RUN.sub(" ", c) if isinstance(c, str) else _render(c) for c in node.children)
+    out = _rendered(node)
     fenced = re.split("(\n```.*?\n```\n)", out, flags=re.DOTALL)
     for i in range(0, len(fenced), 2):  # outside of code: no space at the ends of lines, one blank line at most
         fenced[i] = re.sub("\n{3,}", "\n\n", re.sub("(?m)^ +| +$", "", re.sub("(?m)  $", "\0", fenced[i])).replace("\0", "  "))
@@ -96,13 +120,20 @@ _FENCED = re.compile(r"```([A-Za-z0-9_]+)?\n([\s\S]*?)```")
 _LIST = re.compile(r"^([*-] .+(?:\n[*-] .+)*)", re.MULTILINE)
 
 
+def _places(pattern: re.Pattern, text: str):
+    """(match, its place in UTF-16 units), in order."""
+    at = end = 0
+    for m in pattern.finditer(text):
+        at, end = at + size(text[end : m.start()]), m.start()
+        yield m, at
+
+
 def structure(markdown: str) -> dict:
     """Headings, code blocks and lists with their places, and counts; an empty text has one (empty) word."""
-    at = lambda m: size(markdown[: m.start()])
     return {
-        "headings": [{"level": len(m[1]), "text": trim(m[2]), "position": at(m)} for m in _HEADING.finditer(markdown)],
-        "code_blocks": [{"language": m[1] or "text", "content": trim(m[2]), "position": at(m), "length": size(m[0])} for m in _FENCED.finditer(markdown)],
-        "lists": [{"content": trim(m[1]), "position": at(m), "item_count": len(re.findall(r"(?m)^[*-] ", m[1]))} for m in _LIST.finditer(markdown)],
+        "headings": [{"level": len(m[1]), "text": trim(m[2]), "position": at} for m, at in _places(_HEADING, markdown)],
+        "code_blocks": [{"language": m[1] or "text", "content": trim(m[2]), "position": at, "length": size(m[0])} for m, at in _places(_FENCED, markdown)],
+        "lists": [{"content": trim(m[1]), "position": at, "item_count": len(re.findall(r"(?m)^[*-] ", m[1]))} for m, at in _places(_LIST, markdown)],
         "word_count": len(pieces(markdown)),
         "character_count": size(markdown),
     }

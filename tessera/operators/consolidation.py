@@ -1,19 +1,33 @@
-"""Consolidation of each query's results: groups are bounded by the result limit, so one task holds one easily."""
+"""Consolidation of each query's results: a group is cut to the result limit first, so one task holds one easily."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
 from ..markup.consolidate import Scored, consolidate
 
+#: Fixed value: most results of a query.
+MOST_RESULTS = 50
 
-def consolidate_results(results: DataFrame, keys: tuple[str, ...] = ("query_id", "url")) -> DataFrame:
+
+def checked_limit(k: int) -> int:
+    """A result limit, which is from 1 to ``MOST_RESULTS``."""
+    if isinstance(k, bool) or not isinstance(k, int) or not 1 <= k <= MOST_RESULTS:
+        raise ValidationError(f"the number of results is from 1 to {MOST_RESULTS}: {k}")
+    return k
+
+
+def consolidate_results(results: DataFrame, keys: tuple[str, ...] = ("query_id", "url"), most: int = MOST_RESULTS) -> DataFrame:
     """(keys, place, id, text, score, section_path, source_ids) from ranked (keys, rank, id, text, score, section_path).
 
-    A group is one row with a list, so that Arrow carries many groups at a time.
+    Of each group the ``most`` results that rank first are taken: merging compares pairs. A group is one row
+    with a list, so that Arrow carries many groups at a time.
     """
+    checked_limit(most)
+    results = results.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "id"))).filter(F.col("n") <= most).drop("n")
     kinds = {k: results.schema[k].dataType.simpleString() for k in keys}
     spark = results.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

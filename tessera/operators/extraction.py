@@ -28,6 +28,14 @@ def _kinds():
     return [s, s, s, s, pa.list_(s), _arrow_structure(), s, s, s, s]
 
 
+def _extracted(html: str | None, clean: str | None, title: str | None, shown: str | None) -> dict:
+    """A page that no strategy can read is the native cleaning's text with a note, so that it doesn't end the job."""
+    try:
+        return ex.extract(html, clean, title, shown)
+    except Exception as e:  # noqa: BLE001 - any page can be on the web
+        return ex.raw(clean or "", title) | {"note": f"Extraction failed: {type(e).__name__}: {e}"[:300]}
+
+
 def extract_pages(pages: DataFrame, rendered: str | None = None) -> DataFrame:
     """(url, title, text, markdown, excerpt, section_paths, structure, byline, lang, method, note) of (url, html).
 
@@ -39,24 +47,27 @@ def extract_pages(pages: DataFrame, rendered: str | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             cells = [b.column(c).to_pylist() for c in ("html", "_clean", "_title", "_shown")]
-            found = [ex.extract(*c) for c in zip(*cells, strict=True)]
+            found = [_extracted(*c) for c in zip(*cells, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("url"), *[pa.array([f[n] for f in found], t) for n, t in zip(_FIELDS, _kinds(), strict=True)]], names=["url", *_FIELDS])
 
     return rows.mapInArrow(run, f"url string, {SCHEMA}")
 
 
 def pages_to_markdown(pages: DataFrame) -> DataFrame:
-    """(url, markdown) of the whole body of each page."""
+    """(url, markdown, error) of the whole body of each page; one that can't be read has an error and no markdown."""
 
     def run(batches):
         for b in batches:
             out = []
             for html in b.column("html").to_pylist():
-                root = dom.parse(html or "")
-                out.append(to_markdown(next((n for n in root.walk() if n.tag == "body"), root)))
-            yield pa.RecordBatch.from_arrays([b.column("url"), pa.array(out, pa.string())], names=["url", "markdown"])
-
-    return spread(pages.select("url", "html")).mapInArrow(run, "url string, markdown string")
+                try:
+                    root = dom.parse(html or "")
+                    out.append((to_markdown(next((n for n in root.walk() if n.tag == "body"), root)), None))
+                except Exception as e:  # noqa: BLE001 - any page can be on the web
+                    out.append((None, f"{type(e).__name__}: {e}"[:300]))
+            yield pa.RecordBatch.from_arrays([b.column("url"), *[pa.array([o[k] for o in out], pa.string()) for k in (0, 1)]], names=["url", "markdown", "error"])
+
+    return spread(pages.select("url", "html")).mapInArrow(run, "url string, markdown string, error string")
 
 
 def markdown_structure(documents: DataFrame) -> DataFrame:

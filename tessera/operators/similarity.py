@@ -42,6 +42,7 @@ def top_k(scores: DataFrame, k: int = MOST_RESULTS, scope: str = "url", threshol
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = MOST_RESULTS, threshold: float | None = THRESHOLD, scope: str = "url") -> DataFrame:
+    """Exact search: the work is the number of queries of a scope times its chunks."""
     return top_k(scored(queries, chunks, scope), k, scope, threshold)
 
 

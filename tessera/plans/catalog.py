@@ -328,7 +328,10 @@ def excerpt_300(spark, d):
 {_JS_LENGTH.format(t="text")}::INT AS characters, len(regexp_extract_all(text, '(?m)^[*-] '))::INT AS items FROM documents""")
 def word_char_counts(spark, d):
     t = F.col("text")
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.raw_word_count(t).alias("words"), tx.split_word_count(t).alias("split_words"), tx.js_length(t).cast("int").alias("characters"), tx.list_item_count(t).alias("items"))
+    # one count of blanks tells both: white space at an end makes an empty piece
+    bare, blank = tx.js_trim(t), lambda c: F.when(c, 1).otherwise(0)
+    words = F.when(bare == "", 0).otherwise(F.col("split_words") - blank(~t.startswith(F.substring(bare, 1, 1))) - blank(~t.endswith(F.substring(bare, -1, 1))))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("split_words", tx.split_word_count(t)).select("doc_id", words.cast("int").alias("words"), "split_words", tx.js_length(t).cast("int").alias("characters"), tx.list_item_count(t).alias("items"))
 
 
 def _trim_sql(t: str) -> str:
@@ -497,13 +500,13 @@ def table_inventory(spark, d):
 
 
 def result_items(spark, d) -> DataFrame:
-    """Items of each query: pages, dealt to the benchmark's queries, with an ordinal."""
-    p, n = table(spark, d, "pages"), 40
-    rows = p.select((F.col("page_id") % n).alias("query_id"), F.col("url").alias("link"), "page_id")
+    """Items of each query, with an ordinal: a query for every five pages."""
+    p = table(spark, d, "pages")
+    rows = p.select(F.floor(F.col("page_id") / 5).alias("query_id"), F.col("url").alias("link"), "page_id")
     return rows.withColumn("ordinal", (F.row_number().over(Window.partitionBy("query_id").orderBy("page_id")) - 1).cast("int"))
 
 
-_ITEMS = "SELECT page_id % 40 AS query_id, url AS link, page_id, (row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) - 1)::INT AS ordinal FROM pages"
+_ITEMS = "SELECT page_id // 5 AS query_id, url AS link, page_id, (row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id) - 1)::INT AS ordinal FROM pages"
 
 
 @query(f"WITH i AS ({_ITEMS}) SELECT query_id, page_id, (ordinal + 1)::INT AS place FROM i WHERE ordinal < 3")
@@ -520,7 +523,7 @@ def attach_matches(spark, d):
     p, lb = table(spark, d, "pages"), table(spark, d, "labels")
     pairs = p.select("page_id", "url").join(lb.select("doc_id", F.floor(F.col("doc_id") / 4).alias("page_id")), "page_id")
     per = pairs.groupBy("page_id", "url").agg(F.array_sort(F.collect_list("doc_id")).alias("relevant_chunks"))
-    found = per.select((F.col("page_id") % 40).alias("query_id"), urls.normalize_url(F.col("url")).alias("url"), "relevant_chunks")
+    found = per.select(F.floor(F.col("page_id") / 5).alias("query_id"), urls.normalize_url(F.col("url")).alias("url"), "relevant_chunks")
     out = ws.attach(items, found)
     return out.select("query_id", "page_id", F.coalesce(F.size("relevant_chunks"), F.lit(0)).cast("long").alias("n"), F.array_join(F.col("relevant_chunks").cast("array<string>"), ",").alias("ids"))
 
@@ -677,9 +680,24 @@ def chunk_text(spark, d):
     return document_chunks(spark, d)
 
 
-@query()
+def line_chunks(spark, d) -> DataFrame:
+    """Stored chunks that SQL can make too: the lines of the documents."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("section_path"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "text"))
+    key = F.concat_ws("|", "url", F.col("chunk_index").cast("string"), "text")
+    return rows.select("url", "chunk_index", hashing.content_hash(key).alias("id"), "text", "section_path", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+_LINES = f"""SELECT url, (i - 1)::INT AS chunk_index, sha256(url || '|' || (i - 1) || '|' || s[i]) AS id, s[i] AS text, section_path, ceil({_JS_LENGTH.format(t="s[i]")} / 4.0::DOUBLE)::INT AS tokens
+FROM (SELECT url, s, section_path, unnest(range(1, len(s) + 1)) AS i FROM (SELECT 'doc:' || doc_id AS url, string_split(text, chr(10)) AS s, lang AS section_path FROM documents))"""
+
+
+@query(f"""SELECT count(*) AS chunks, coalesce(sum(tokens), 0)::BIGINT AS total_tokens, round(coalesce(avg(tokens), 0), 9) AS mean_tokens, coalesce(sum(tokens % 7), 0)::BIGINT AS total_overlap,
+round(coalesce(avg(tokens % 7), 0), 9) AS mean_overlap FROM ({_LINES})""")
 def chunk_overlap_stats(spark, d):
-    return stats.chunk_report(document_chunks(spark, d))
+    """The report over stored chunks whose overlap is given."""
+    out = stats.chunk_report(line_chunks(spark, d).withColumn("overlap_tokens", F.col("tokens") % 7))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_tokens", "mean_overlap")})
 
 
 def embedded_chunks(spark, d) -> DataFrame:
@@ -712,26 +730,26 @@ def response_envelope(spark, d):
     return envelope.to_json(rows, pretty=False)
 
 
-@query()
+@query(f"SELECT url, chunk_index, id, text, section_path, NULL::DOUBLE AS score FROM ({_LINES})")
 def read_from_page_all(spark, d):
-    c = document_chunks(spark, d)
-    return read_page.all_chunks(c.select("url", "chunk_index", "id", "text", stored_path(F.col("section_path")).alias("section_path")))
+    return read_page.all_chunks(line_chunks(spark, d))
 
 
-@query()
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark),
+q AS (SELECT b.item_id AS query_id, 'doc:' || doc_id AS url, regexp_split_to_array(lower(trim(b.text)), '\\s+') AS terms FROM documents d, n JOIN benchmark b ON d.doc_id % n.n = b.item_id WHERE regexp_matches(b.text, '\\S')),
+hit AS (SELECT q.query_id, c.url, c.chunk_index, c.id FROM q JOIN ({_LINES}) c ON c.url = q.url WHERE len(list_filter(q.terms, lambda t: contains(lower(c.text), t))) > 0)
+SELECT query_id, url, rank::INT AS rank, id, 0.5::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY chunk_index, id) AS rank FROM hit) WHERE rank <= 8""")
 def read_from_page_keywords(spark, d):
     """The fallback without vectors."""
-    c = document_chunks(spark, d)
-    rows = c.select("url", "chunk_index", "id", "text", stored_path(F.col("section_path")).alias("section_path"))
-    return read_page.keyword_answer(logged_queries(spark, d), rows).select("query_id", "url", "rank", "id", "score")
+    return read_page.keyword_answer(logged_queries(spark, d), line_chunks(spark, d)).select("query_id", "url", "rank", "id", "score")
 
 
 @query()
 def consolidate_topk(spark, d):
-    """Overlapping chunks of each document, scored by their place, merged."""
+    """Overlapping chunks of each document, scored by their place, the first thirty of it merged."""
     c = document_chunks(spark, d)
     rows = c.select(F.lit(0).cast("long").alias("query_id"), "url", F.col("chunk_index").alias("rank"), "id", "text", (1 / (F.col("chunk_index") + 1.0)).alias("score"), stored_path(F.col("section_path")).alias("section_path"))
-    return consolidate_results(rows)
+    return consolidate_results(rows, most=read_page.SEARCH_RESULTS)
 
 
 @query()
@@ -744,6 +762,9 @@ def page_ingest(spark, d):
 @query()
 def web_search(spark, d):
     items = result_items(spark, d).select("query_id", "ordinal", "link")
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    n = F.lit(b.count() or 1)
+    asked = items.select("query_id").distinct()
+    queries = asked.join(b, F.col("query_id") % n == F.col("item_id")).select("query_id", "query")  # texts come again where there are more queries
     out = ws.web_search(items, queries, table(spark, d, "pages").select("url", "html"), HashProvider(), threshold=0.1)
     return out.select("query_id", "ordinal", "link", F.coalesce(F.size("relevant_chunks"), F.lit(0)).alias("n_chunks"), F.to_json("relevant_chunks").alias("relevant_chunks"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, urls
 from ..operators import similarity
 from ..operators.chunking import chunk_documents, stored_path
-from ..operators.consolidation import consolidate_results
+from ..operators.consolidation import checked_limit, consolidate_results
 from ..operators.extraction import extract_pages
 from ..sources.embeddings import EmbeddingProvider, embed_column
 from ..sources.store import revalidated
@@ -46,8 +46,9 @@ def all_chunks(chunks: DataFrame) -> DataFrame:
 def answer(queries: DataFrame, chunks: DataFrame, provider: EmbeddingProvider, k: int = MOST_RESULTS, threshold: float | None = similarity.THRESHOLD) -> DataFrame:
     """(query_id, url, place, id, text, score, section_path, source_ids) for queries (query_id, url, query).
 
-    Blank queries are left out; equal queries keep their own ids.
+    Blank queries are left out; equal queries keep their own ids. ``k`` is from 1 to 50.
     """
+    checked_limit(k)
     asked = queries.filter(F.col("query").rlike(r"\S"))
     vectors = embed_column(asked.select("query_id", "url", F.col("query").alias("text")), provider)
     vectors = vectors.filter("embedding is not null").select("query_id", "url", F.col("embedding").alias("query_embedding"))
@@ -58,6 +59,7 @@ def answer(queries: DataFrame, chunks: DataFrame, provider: EmbeddingProvider, k
 
 def keyword_answer(queries: DataFrame, chunks: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
     """The fallback without vectors: chunks with any word of the query, in document order, score 0.5."""
+    checked_limit(k)
     joined = queries.filter(F.col("query").rlike(r"\S")).join(chunks.select("url", "chunk_index", "id", "text", "section_path"), "url")
     found = joined.filter(similarity.keyword_match(F.col("text"), F.col("query")))
     scored = found.withColumn("score", F.lit(0.5)).withColumn("dist", F.col("chunk_index"))

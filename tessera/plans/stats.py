@@ -9,6 +9,8 @@ from .retention import CHUNK_BYTES, DOCUMENT_BYTES
 
 #: Fixed value: estimated bytes of a cell.
 CELL_BYTES = 50
+#: Parts of a range that a pass for the median counts, and components that one task may sort.
+EDGES, FEW = 4096, 100_000
 
 
 def per_document(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -54,24 +56,30 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
 def component_report(embeddings: DataFrame) -> DataFrame:
     """One row: least, greatest, mean and upper median of all components (the element at half of the count).
 
-    The median is found by counts of equal components, in ranges that no task has to hold together.
+    The median is enclosed by counts in ``EDGES`` equal parts of a range, again and again of the part that holds it,
+    until so few components are left that one task can sort them, or all are equal: an outlier costs another pass,
+    of which a double's bits allow five. The passes run while the plan is made; each brings counts only.
     """
     each = embeddings.select(F.explode(F.col("embedding").cast("array<double>")).alias("x"))
     sums = each.agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("greatest"), F.avg("x").alias("mean"))
-    buckets = 4096
     s = sums.first()
     if not s["n"]:
         return sums.withColumn("median", F.lit(None).cast("double"))
-    width = (s["greatest"] - s["least"]) / buckets or 1.0
-    place = F.least(F.floor((F.col("x") - s["least"]) / width), F.lit(buckets - 1))
-    before = 0
-    for r in each.groupBy(place.alias("b")).count().orderBy("b").collect():  # at most ``buckets`` rows
-        if before + r["count"] > s["n"] // 2:
+    before, inside, low, high, n = 0, each, s["least"], s["greatest"], s["n"]
+    while n > FEW and low < high:
+        width = (high - low) / EDGES
+        place = F.least(F.greatest(F.floor((F.col("x") - low) / width), F.lit(0)), F.lit(EDGES - 1)) if width else F.lit(0)
+        counts = inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for r in counts.orderBy("b").collect():  # at most ``EDGES`` rows
+            if before + r["n"] > s["n"] // 2:
+                break
+            before += r["n"]
+        if r["n"] == n:
             break
-        before += r["count"]
-    inside = each.filter(place == r["b"]).groupBy("x").count()
+        low, high, n = r["low"], r["high"], r["n"]
+        inside = each.filter(F.col("x").between(low, high))
     upto = Window.orderBy("x")
-    found = inside.withColumn("upto", F.sum("count").over(upto)).filter(F.col("upto") > s["n"] // 2 - before).agg(F.min("x").alias("median"))
+    found = inside.groupBy("x").count().withColumn("upto", F.sum("count").over(upto)).filter(F.col("upto") > s["n"] // 2 - before).agg(F.min("x").alias("median"))
     return sums.withColumn("median", found.scalar())
 
 

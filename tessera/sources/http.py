@@ -1,18 +1,22 @@
-"""Live sources: pages and search answers over HTTP, a few connections a task.
+"""Live sources: pages and search answers over HTTP, ``concurrency`` connections and requests a second in a task.
 
 A source is a function from a request to (status, headers, body). Tests and crawlers with their own
 client pass one; the default is the standard library's. What fails is a row with an ``error``, so a
-bad host doesn't end a job; ``require_some`` ends it if everything failed.
+bad host doesn't end a job; ``require_some`` ends it if everything failed. Limits are a task's: the
+number of tasks (``requests.coalesce(n)``) times ``concurrency`` is what an address sees at most.
 """
 
 from __future__ import annotations
 
 import gzip
+import threading
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
 import zlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,13 +24,43 @@ from pyspark.sql import functions as F
 
 from ..errors import NetworkError, ValidationError
 
-TIMEOUT, REDIRECTS = 20.0, 3
+TIMEOUT, REDIRECTS, CONCURRENCY = 20.0, 3, 2
 REDIRECTED = (301, 302, 303, 307, 308)
 PAGE_SCHEMA = "status int, body string, etag string, last_modified string, not_modified boolean, error string"
 
 Send = Callable[[str, str, dict, bytes | None, float], tuple[int, dict, bytes]]
 
 
+class Limiter:
+    """A bucket of ``rate`` tokens that fills by ``rate`` a second; ``take`` waits for a token."""
+
+    def __init__(self, rate: float, clock=time.monotonic, sleep=time.sleep):
+        self.rate, self.clock, self.sleep = rate, clock, sleep
+        self.held, self.at, self.lock = float(rate), clock(), threading.Lock()
+
+    def take(self) -> None:
+        with self.lock:
+            now = self.clock()
+            self.held = min(self.rate, self.held + (now - self.at) * self.rate) - 1
+            self.at = now
+            wait = max(0.0, -self.held / self.rate)
+        if wait:
+            self.sleep(wait)
+
+
+def _at_once(work: Callable, items, concurrency: int, rate: float | None) -> list:
+    """``work`` of each item, in order, ``concurrency`` at a time, each after a token if there's a ``rate``."""
+    limiter = Limiter(rate) if rate else None
+
+    def one(item):
+        if limiter is not None:
+            limiter.take()
+        return work(item)
+
+    with ThreadPoolExecutor(max(1, concurrency)) as pool:
+        return list(pool.map(one, items))
+
+
 class _Stay(urllib.request.HTTPRedirectHandler):
     def redirect_request(self, *_):
         return None
@@ -75,18 +109,19 @@ def fetch(url: str, etag: str | None = None, last_modified: str | None = None, t
     raise NetworkError(f"more than {REDIRECTS} redirects")
 
 
-def fetch_pages(requests: DataFrame, timeout: float = TIMEOUT, transport: Send = send) -> DataFrame:
+def fetch_pages(requests: DataFrame, timeout: float = TIMEOUT, transport: Send = send, concurrency: int = CONCURRENCY, rate: float | None = None) -> DataFrame:
     """Requests (url, etag, last_modified) with status, body, new validators, not_modified and error."""
 
+    def one(r):
+        text = lambda v: v if isinstance(v, str) else None
+        try:
+            return fetch(r.url, text(r.etag), text(r.last_modified), timeout, transport)
+        except (NetworkError, ValidationError, OSError, ValueError, zlib.error, EOFError) as e:
+            return {"status": None, "body": None, "etag": None, "last_modified": None, "not_modified": False, "error": str(e)}
+
     def run(frames):
         for f in frames:
-            rows = []
-            for r in f.itertuples():
-                text = lambda v: v if isinstance(v, str) else None
-                try:
-                    rows.append(fetch(r.url, text(r.etag), text(r.last_modified), timeout, transport))
-                except (NetworkError, ValidationError, OSError, ValueError) as e:
-                    rows.append({"status": None, "body": None, "etag": None, "last_modified": None, "not_modified": False, "error": str(e)})
+            rows = _at_once(one, f.itertuples(), concurrency, rate)
             out = pd.DataFrame(rows, columns=["status", "body", "etag", "last_modified", "not_modified", "error"])
             out["status"] = out["status"].astype("Int32")
             out.insert(0, "url", f["url"].tolist())
@@ -128,20 +163,20 @@ def search(provider: str, parameters: dict, key: str | None = None, engine: str
     return decoded(got, data)
 
 
-def search_answers(requests: DataFrame, provider: str, key: str | None = None, engine: str | None = None, timeout: float = TIMEOUT, transport: Send = send) -> DataFrame:
+def search_answers(requests: DataFrame, provider: str, key: str | None = None, engine: str | None = None, timeout: float = TIMEOUT, transport: Send = send, concurrency: int = CONCURRENCY) -> DataFrame:
     """(query_id, body, error) of (query_id, parameters map)."""
     kind = requests.schema["query_id"].dataType.simpleString()
 
+    def one(p):
+        try:
+            return search(provider, dict(p), key, engine, timeout, transport), None
+        except (NetworkError, OSError, ValueError, zlib.error, EOFError) as e:
+            return None, str(e)
+
     def run(frames):
         for f in frames:
-            bodies, errors = [], []
-            for p in f["parameters"]:
-                try:
-                    bodies.append(search(provider, dict(p), key, engine, timeout, transport))
-                    errors.append(None)
-                except (NetworkError, OSError, ValueError) as e:
-                    bodies.append(None)
-                    errors.append(str(e))
+            got = _at_once(one, f["parameters"], concurrency, concurrency)
+            bodies, errors = [g[0] for g in got], [g[1] for g in got]
             yield pd.DataFrame({"query_id": f["query_id"], "body": pd.Series(bodies, index=f.index, dtype=object), "error": pd.Series(errors, index=f.index, dtype=object)})
 
     return requests.select("query_id", "parameters").mapInPandas(run, f"query_id {kind}, body string, error string")

@@ -1,16 +1,21 @@
-"""The keyed store: documents, chunks and meta as versioned Parquet directories with a pointer file.
-
-A write makes a new version directory and then swaps the pointer, so readers see the old or the new
-table and a failed write leaves nothing behind that is read. One writer at a time. Files go through
-Spark's file systems, so the root can be in any store that Spark reads.
+"""The keyed store: documents, chunks and meta as Parquet files with a pointer file for each table.
+
+Documents and chunks lie in buckets by a hash of their url. The pointer, ``CURRENT``, names the folder of
+each bucket's rows. A write makes new folders for the buckets that it changes only, so that it costs in
+proportion to them, and then renames a new pointer into place: readers see the old or the new table, and
+a failed write leaves nothing behind that is read. What a write replaces is deleted by the next one, so
+that plans made before it can still run. One writer at a time. Files go through Spark's file systems, so
+the root can be in any store that Spark reads.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import ConfigurationError, StoreError
 from ..functions.misc import model_directory
@@ -18,6 +23,8 @@ from ..functions.misc import model_directory
 DOCUMENTS = "url string, title string, etag string, last_modified string, last_crawled timestamp, content_hash string"
 CHUNKS = "id string, url string, section_path string, text string, tokens int, embedding array<float>, chunk_index int, created_at timestamp, updated_at timestamp"
 META = "key string, value string"
+#: Buckets of a new store's tables; a table keeps the number that it was made with.
+BUCKETS = 64
 
 
 def latest(rows: DataFrame, key: str, order) -> DataFrame:
@@ -26,9 +33,21 @@ def latest(rows: DataFrame, key: str, order) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows that aren't replaced, and the new ones."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def one_each(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row a key: the one with the greatest ``order``, and of several, by the other columns."""
+    first = [c for c in (order,) if c is not None]
+    rest = [*first, *[c for c in rows.columns if c not in (key, *first)]]
+    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("row")).select(*[F.col(key) if c == key else F.col(f"row.{c}") for c in rows.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Old rows that aren't replaced, and the new ones, one a key."""
+    new = one_each(new, key, order)
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def bucket_of(url, buckets: int):
+    return F.coalesce(F.pmod(F.xxhash64(url), F.lit(buckets)), F.lit(0)).cast("int")
 
 
 def refreshed(old: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -71,35 +90,70 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str | None:
+    def _state(self, name: str) -> dict:
+        """The pointer: number of buckets, folder of each one that has rows, and folders that the next write deletes."""
         fs, p = self._fs(f"{self.root}/{name}/CURRENT")
         if not fs.exists(p):
-            return None
+            return {"buckets": 1 if name == "meta" else BUCKETS, "folders": {}, "old": []}
         stream = fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            text = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            raise StoreError(f"the pointer of {name} can't be read") from None
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        version = self._pointer(name)
-        if version is None:
+    def _point(self, name: str, state: dict) -> None:
+        """Put a pointer in place by renaming a whole file."""
+        jvm = self.spark.sparkContext._jvm
+        fs, new = self._fs(f"{self.root}/{name}/.CURRENT-{uuid.uuid4().hex}")
+        out = fs.create(new, True)
+        out.write(json.dumps(state).encode())
+        out.close()
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(new, jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT"), how)
+
+    def _read(self, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        folders = self._state(name)["folders"]
+        paths = [f"{self.root}/{name}/{f}" for b, f in folders.items() if buckets is None or int(b) in buckets]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _write(self, name: str, rows: DataFrame, schema: str, buckets: list[int] | None = None, files: int | None = None) -> None:
+        """Replace the rows of ``buckets``, or of all, by ``rows``, which must be of these buckets."""
+        state, version, kinds = self._state(name), uuid.uuid4().hex, StructType.fromDDL(schema)
+        own = F.lit(0) if state["buckets"] == 1 else bucket_of(F.col("url"), state["buckets"])
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds], own.alias("bucket"))
+        rows = rows.repartition(files, "bucket") if files else rows.repartition("bucket") if state["buckets"] > 1 else rows
+        rows.write.partitionBy("bucket").parquet(f"{self.root}/{name}/{version}")
+        fs, p = self._fs(f"{self.root}/{name}/{version}")
+        new = {f.getPath().getName().partition("=")[2]: f"{version}/{f.getPath().getName()}" for f in fs.listStatus(p) if f.isDirectory()}
+        gone = {b: f for b, f in state["folders"].items() if buckets is None or int(b) in buckets}
+        kept = {b: f for b, f in state["folders"].items() if b not in gone}
+        self._point(name, {"buckets": state["buckets"], "folders": kept | new, "old": list(gone.values())})
+        self._delete(name, state["old"])
+
+    def _delete(self, name: str, folders: list[str]) -> None:
+        for f in folders:
+            fs, p = self._fs(f"{self.root}/{name}/{f}")
+            fs.delete(p, True)
 
-    def _write(self, name: str, rows: DataFrame, schema: str) -> None:
-        from pyspark.sql.types import StructType
+    def _buckets_of(self, name: str, rows: DataFrame) -> list[int]:
+        """The buckets of some rows' urls: as many as the table has, at most."""
+        n = self._state(name)["buckets"]
+        return [r["b"] for r in rows.select(bucket_of(F.col("url"), n).alias("b")).distinct().collect()]
 
-        kinds = StructType.fromDDL(schema)
-        old, version = self._pointer(name), uuid.uuid4().hex
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).write.parquet(f"{self.root}/{name}/{version}")
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        out = fs.create(p, True)
-        out.write(version.encode())
-        out.close()
-        if old is not None:
-            fs, p = self._fs(f"{self.root}/{name}/{old}")
-            fs.delete(p, True)
+    def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """The rows written once, so that what made them, such as a paid model, runs once; and their folder."""
+        folder = f"{self.root}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder), folder
 
     def size_bytes(self) -> int:
         fs, p = self._fs(self.root)
@@ -144,31 +198,49 @@ class Store:
         self._write("meta", self.meta.filter(~F.col("key").isin("embedding_model", "embedding_dim")), META)
 
     def upsert_documents(self, rows: DataFrame) -> None:
-        self._write("documents", upsert(self.documents, rows, "url"), DOCUMENTS)
+        """New rows by url; of several with one url, the one crawled last."""
+        rows, folder = self._staged(rows)
+        buckets = self._buckets_of("documents", rows)
+        if buckets:
+            self._write("documents", upsert(self._read("documents", DOCUMENTS, buckets), rows, "url", "last_crawled"), DOCUMENTS, buckets)
+        self._delete("", [folder.rpartition("/")[2]])
 
     def upsert_chunks(self, rows: DataFrame, replace: bool = False) -> None:
-        """New rows by id. A known id keeps its times; ``replace`` also drops its url's other chunks."""
-        if rows.isEmpty():
-            return
-        dim = self.meta.filter("key = 'embedding_dim'").collect()
-        if dim and not rows.filter(F.size("embedding") != int(dim[0]["value"])).isEmpty():
-            raise StoreError(f"embeddings must have {dim[0]['value']} components")
-        old = self.chunks
-        times = old.select("id", F.col("created_at").alias("_c"), F.col("updated_at").alias("_u"))
-        now = F.current_timestamp()
-        new = rows.join(times, "id", "left").withColumn("created_at", F.coalesce("_c", now)).withColumn("updated_at", F.coalesce("_u", now)).drop("_c", "_u")
-        kept = old.join(rows.select("url").distinct(), "url", "left_anti") if replace else old
-        self._write("chunks", upsert(kept, new.select(*old.columns), "id"), CHUNKS)
+        """New rows by id, which is of one url. A known id keeps its times; ``replace`` also drops its url's other chunks."""
+        rows, folder = self._staged(rows)
+        try:
+            buckets = self._buckets_of("chunks", rows)
+            if not buckets:
+                return
+            dim = self.meta.filter("key = 'embedding_dim'").collect()
+            if dim and not rows.filter(F.size("embedding") != int(dim[0]["value"])).isEmpty():
+                raise StoreError(f"embeddings must have {dim[0]['value']} components")
+            old = self._read("chunks", CHUNKS, buckets)
+            times = old.select("id", F.col("created_at").alias("_c"), F.col("updated_at").alias("_u"))
+            now = F.current_timestamp()
+            new = one_each(rows, "id").join(times, "id", "left").withColumn("created_at", F.coalesce("_c", now)).withColumn("updated_at", F.coalesce("_u", now)).drop("_c", "_u")
+            kept = old.join(rows.select("url").distinct(), "url", "left_anti") if replace else old
+            self._write("chunks", upsert(kept, new.select(*old.columns), "id"), CHUNKS, buckets)
+        finally:
+            self._delete("", [folder.rpartition("/")[2]])
+
+    def _without(self, name: str, schema: str, rows: DataFrame, condition) -> None:
+        """Delete the rows that meet a condition; ``rows`` (url) tell which buckets have them."""
+        if buckets := self._buckets_of(name, rows):
+            self._write(name, self._read(name, schema, buckets).filter(~F.coalesce(condition, F.lit(False))), schema, buckets)
+
+    def _urls(self, url: str) -> DataFrame:
+        return self.spark.createDataFrame([(url,)], "url string")
 
     def delete_document(self, url: str) -> None:
-        self._write("documents", self.documents.filter(F.col("url") != url), DOCUMENTS)
-        self._write("chunks", self.chunks.filter(F.col("url") != url), CHUNKS)
+        self._without("documents", DOCUMENTS, self._urls(url), F.col("url") == url)
+        self.delete_chunks_of(url)
 
     def delete_chunk(self, chunk_id: str) -> None:
-        self._write("chunks", self.chunks.filter(F.col("id") != chunk_id), CHUNKS)
+        self._without("chunks", CHUNKS, self.chunks.filter(F.col("id") == chunk_id), F.col("id") == chunk_id)
 
     def delete_chunks_of(self, url: str) -> None:
-        self._write("chunks", self.chunks.filter(F.col("url") != url), CHUNKS)
+        self._without("chunks", CHUNKS, self._urls(url), F.col("url") == url)
 
     def delete_expired(self, cutoff) -> dict:
         """Remove documents crawled before ``cutoff`` and their chunks; what was removed."""
@@ -182,10 +254,13 @@ class Store:
         return report
 
     def compact(self, files: int = 1) -> None:
-        """Rewrite the tables in fewer files."""
+        """Rewrite the tables with a file a bucket, written by ``files`` tasks, and delete what was replaced at once."""
         for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS)):
-            if self._pointer(name) is not None:
-                self._write(name, self._read(name, schema).coalesce(files), schema)
+            if self._state(name)["folders"]:
+                self._write(name, self._read(name, schema), schema, files=files)
+                state = self._state(name)
+                self._point(name, state | {"old": []})
+                self._delete(name, state["old"])
 
     def tables(self) -> list[tuple[str, int, int]]:
         """(name, rows, columns) of each table."""

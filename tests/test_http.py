@@ -104,3 +104,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["cleanup", *at, "--days", "-1"]) == 1
     assert main(["cleanup", *at, "--vacuum"]) == 0 and s.documents.count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_limiter_and_concurrency(spark):
+    now, slept = [0.0], []
+    limiter = http.Limiter(2, clock=lambda: now[0], sleep=slept.append)
+    for _ in range(4):
+        limiter.take()
+    assert slept == [0.5, 1.0]
+    now[0] = 10.0
+    limiter.take()
+    assert slept == [0.5, 1.0]
+
+    import threading
+    import time
+
+    lock, seen = threading.Lock(), [0, 0]
+
+    def work(x):
+        with lock:
+            seen[0] += 1
+            seen[1] = max(seen)
+        time.sleep(0.02)
+        with lock:
+            seen[0] -= 1
+        return x
+
+    assert http._at_once(work, range(12), 3, None) == list(range(12)) and seen[1] == 3
+
+    def answers(method, url, headers, body, timeout):
+        return (404, {}, b"") if url.endswith("/gone") else (304, {}, b"") if "if-none-match" in headers else (200, {}, b"x")
+
+    requests = spark.createDataFrame([("http://h/page", None, None), ("http://h/gone", None, None), ("http://h/page", "e1", None)], "url string, etag string, last_modified string").coalesce(1)
+    assert [(r.status, r.not_modified, r.error is None) for r in http.fetch_pages(requests, transport=answers, concurrency=3).collect()] == [(200, False, True), (None, False, False), (304, True, True)]

@@ -50,3 +50,38 @@ def test_languages_and_structure():
     assert [(h["level"], h["text"], h["position"]) for h in info["headings"]] == [(1, "A", 0), (2, "B", 26)]
     assert info["lists"][0]["item_count"] == 2 and info["code_blocks"][0]["language"] == "py"
     assert markdown.tidy("a\n\n\n\n\nb\n# c\n- d\n- e") == "a\n\n\nb\n\n# c\n\n- d\n\n- e"
+
+
+def test_deep_and_wide_pages():
+    for tag in ("span", "b", "div", "p", "li", "blockquote"):
+        html = "<body><p>" + f"<{tag}>" * 20_000 + "some words, and more " * 30
+        assert "some words" in markdown.to_markdown(dom.parse(html))
+        assert "some words" in extract.extract(html)["text"]
+    md = markdown.to_markdown(dom.parse("<ol start=3>" + "<li>x" * 20_000 + "</ol>"))
+    assert md.startswith("3.  x\n4.  x") and md.endswith("20002.  x")
+    found = markdown.structure("# é😀\n\nt\n" * 20_000)["headings"]
+    assert len(found) == 20_000 and found[-1]["position"] == 9 * 19_999
+    assert extract.extract("<body>" + "<p class=promo>x</p>" * 20_000)["method"] == "raw"
+
+
+def test_density_reads_like_the_texts():
+    root = dom.parse("<body><div> <p> a, b </p><a>link <b>x</b></a>  </div><section><p>c</p></section></body>")
+    told = extract._told(root)
+    for n in root.walk():
+        text, said = n.text(), told[id(n)]
+        assert (said.length, said.commas, said.solid) == (len(text), text.count(","), len(text.strip()))
+        assert said.linked == sum(len(a.text()) for a in n.walk() if a.tag == "a")
+        assert said.holds_scored == any(c.tag in extract._SCORED for c in n.walk())
+
+
+def test_a_page_that_fails_is_a_row(spark, monkeypatch):
+    from tessera.operators import extraction
+
+    def fails(*_):
+        raise RecursionError("deep")
+
+    monkeypatch.setattr(extraction.ex, "extract", fails)
+    out = extraction._extracted("<p>x", "x", "t", None)
+    assert out["method"] == "raw" and out["text"] == "x" and "RecursionError" in out["note"]
+    pages = spark.createDataFrame([("u1", "<p>one"), ("u2", None)], "url string, html string")
+    assert [(r.url, r.markdown, r.error) for r in extraction.pages_to_markdown(pages).orderBy("url").collect()] == [("u1", "one", None), ("u2", "", None)]

@@ -74,3 +74,19 @@ def test_web_search_keeps_all_items(spark):
     pages = spark.createDataFrame([(f"http://x.org/{k}", PAGE.format(k, "Rivers carry water to the sea. " * 30)) for k in "ab"], "url string, html string")
     out = {r.ordinal: r.relevant_chunks for r in ws.web_search(items, queries, pages, HashProvider(), threshold=0.1).collect()}
     assert sorted(out) == [0, 1, 2, 3] and out[0] is None and out[1] and out[2] and out[3] is None
+
+
+def test_result_limits(spark):
+    import pytest
+
+    from tessera.errors import ValidationError
+    from tessera.operators.consolidation import consolidate_results
+    from tessera.plans import read_page
+
+    rows = spark.createDataFrame([(1, "u", i, f"i{i}", f"text number {i} " * 3, 1.0 - i / 100, f"s{i}") for i in range(60)], "query_id long, url string, rank int, id string, text string, score double, section_path string")
+    assert consolidate_results(rows, most=7).count() == 7 and consolidate_results(rows).count() == 50
+    for k in (0, 51, -1, "8", True):
+        with pytest.raises(ValidationError):
+            read_page.keyword_answer(rows, rows, k)
+        with pytest.raises(ValidationError):
+            read_page.answer(rows, rows, None, k)

@@ -106,3 +106,61 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows[2:], "page_id long, url string, html string").write.mode("append").parquet(str(tmp_path / "in"))
     start(spark, str(tmp_path / "in"), s, HashProvider(), str(tmp_path / "ck"), once=True).awaitTermination()
     assert "page 3" in s.chunks_of("http://x.org/b").first().text and s.documents.count() == 2
+
+
+def test_one_row_a_key(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "m", 3)
+    s.upsert_documents(docs(spark, ("u1", "early", None, 1, "h"), ("u1", "late", None, 9, "h")))
+    s.upsert_chunks(chunks(spark, ("a", "u1", 1), ("a", "u1", 2)))
+    assert [r.title for r in s.documents.collect()] == ["late"] and s.chunks.count() == 1
+
+
+def test_input_is_evaluated_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def paid(frames):
+        for f in frames:
+            calls.add(len(f))
+            yield f
+
+    rows = chunks(spark, *[(f"c{i}", "u1", 1) for i in range(10)])
+    Store(spark, str(tmp_path), "m", 3).upsert_chunks(rows.mapInPandas(paid, rows.schema), replace=True)
+    assert calls.value == 10
+
+
+def test_pointer_and_old_plans(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "m", 3)
+    s.upsert_documents(docs(spark, ("u1", "a", None, 1, "h")))
+    before = s.documents
+    s.upsert_documents(docs(spark, ("u1", "b", None, 2, "h")))
+    assert [r.title for r in before.collect()] == ["a"] and [r.title for r in s.documents.collect()] == ["b"]
+    pointer = next((tmp_path / "model=m" / "documents").glob("CURRENT"))
+    for text in ("", "{"):
+        pointer.write_text(text)
+        (pointer.parent / ".CURRENT.crc").unlink(missing_ok=True)
+        with pytest.raises(StoreError):
+            s.documents.count()
+
+
+def test_a_write_costs_what_it_changes(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "m", 3)
+    s.upsert_documents(docs(spark, *[(f"u{i}", "t", None, 1, "h") for i in range(300)]))
+    first = s._state("documents")["folders"]
+    s.upsert_documents(docs(spark, ("u7", "new", None, 2, "h")))
+    second = s._state("documents")["folders"]
+    assert len(first) > 50 and sum(first[b] != second[b] for b in first) == 1
+    assert s.documents.count() == 300 and s.document("u7").first().title == "new"
+    s.delete_document("u8")
+    assert s.documents.count() == 299
+    s.compact()
+    assert s.documents.count() == 299 and s._state("documents")["old"] == []
+
+
+def test_median_with_outliers(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(stats, "FEW", 50)
+    rng = random.Random(3)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)] + [1e300, -1e12], [5.0] * 400 + [1e9], [0.0, 1.0] * 300, [1e-300 * rng.random() for _ in range(500)] + [1.0]):
+        frame = spark.createDataFrame([(values[i : i + 10],) for i in range(0, len(values), 10)], "embedding array<double>")
+        assert stats.component_report(frame).first().median == sorted(values)[len(values) // 2]
