@@ -8,16 +8,14 @@ groups are the connected components of that. Documents with equal sets are one n
 1. Golay search: a node's SimHash is that of its set. Fingerprints within 2 bits meet by op3's keys,
    and what they propose is verified by the whole sets.
 2. A SimHash can't promise more: at 0.8 two fingerprints differ by 9.7 of 64 bits on average. So what
-   the keys can't reach is found by an exact search. The shingles of a set of k are put in one order
-   for all sets; the sets of a near pair share at least t = ceil(0.8 k) shingles, so that the first
-   ``SHARED`` of these stand among the first k - t + SHARED of both.
-   The order: shingles that were among the first ones of over ``OFTEN`` rows by plain order stand last,
-   by that count. They are a table, found and joined, never gathered; the sets that had one among
-   their first are ordered anew.
-3. Of each first shingle, every node is compared with the smallest node that has it, which links large
-   groups at the cost of a row each. Then pairs of different components that share enough of their
-   first shingles are counted by a join. Shingles of one component only take no part. Pairs are
-   verified by their whole sets.
+   the keys can't reach is found by an exact search. A screen comes first: in one order of all shingles,
+   a set of k and a near one share at least ceil(t / 10) of their first ones, t = ceil(0.8 k), if a set
+   shows its first k - t + ceil(k / 10). Only sets with so many shared ones go on.
+3. Of these, all shingles are counted, and those that are in few sets come first. Two near sets share one
+   among the first k - ceil(8 k / 9) + 1 of the smaller and the first k - t + 1 of the larger. For each
+   such shingle, every set is compared with the smallest node that has it, which links large groups at
+   the cost of a row each; then pairs of different components are met by a join. Shingles that one
+   component has alone take no part. Proposed pairs are verified by the whole sets.
 
 Defined cases are those of op3: repeated rows are copies of each other, null ids are grouped too,
 null texts are texts without words, very long texts are taken whole (a task holds one text's shingles,
@@ -28,19 +26,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import op3_simhash
 from .common import Words, components, discard, gram_hashes, mix64, saved, slices
 
 WORDS = 5
-#: Shingles that a pair must share among the first ones of both, where its sets are large enough.
-SHARED = 3
-#: Rows that have a shingle among their first ones, beyond which it's put last.
-OFTEN = 16
-#: Such shingles that are broadcast to the join that finds them in whole sets (16 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 
 
 def shingle_sets(texts: list[bytes | None]):
@@ -62,10 +54,9 @@ def node_of(shingles: np.ndarray) -> int:
         return int(mix64(np.array([mix64(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))])).view(np.int64)[0])
 
 
-def first_count(k: int) -> int:
-    """How many of the first shingles of a set of k are looked at."""
-    least = (4 * k + 4) // 5
-    return k - least + min(SHARED, least)
+def shown(k: int) -> int:
+    """How many of a set's first shingles the screen looks at."""
+    return k - -(-4 * k // 5) + -(-k // 10)
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -110,29 +101,11 @@ def _columns(parts: list[tuple[np.ndarray, int, int]]) -> list[pa.Array]:
     return [pa.array(c) for c in out]
 
 
-def first_shingles(texts: DataFrame, later: bool = False) -> DataFrame:
-    """(shingle, node, k): the first shingles of each set, those that the column ``last`` names at the end if ``later``."""
-
-    def make(batch, sets):
-        last = batch.column("last").to_pylist() if later else []
-        out = []
-        for i, s in enumerate(sets):
-            order = s
-            if later and last[i]:
-                seen = np.zeros(len(s), dtype=np.int64)
-                seen[np.searchsorted(s, np.array([x["shingle"] for x in last[i]], dtype=np.int64).view(np.uint64))] = [x["n"] for x in last[i]]
-                order = s[np.lexsort((s, seen))]
-            out.append((order[: first_count(len(s))].view(np.int64), node_of(s), len(s)))
-        return _NONE, _columns(out)
-
-    return _mapped(texts.select("text", *(["last"] if later else [])), [], "shingle long, node long, k long", make)
-
-
-def all_shingles(texts: DataFrame) -> DataFrame:
-    """(shingle, node, k): every shingle of each set."""
+def shingle_rows(texts: DataFrame, screen: bool) -> DataFrame:
+    """(shingle, node, k): the shingles of each set, or the first ones that the screen looks at."""
 
     def make(_, sets):
-        return _NONE, _columns([(s.view(np.int64), node_of(s), len(s)) for s in sets])
+        return _NONE, _columns([((s[: shown(len(s))] if screen else s).view(np.int64), node_of(s), len(s)) for s in sets])
 
     return _mapped(texts.select("text"), [], "shingle long, node long, k long", make)
 
@@ -186,63 +159,66 @@ def golay_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(op3_simhash.links(heads.withColumnRenamed("head", "node")).select("u", "v"))
 
 
-def _held(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(shingle, node, k): the first shingles of all nodes that others may have among theirs."""
-    firsts = saved(first_shingles(documents))
-    counts = saved(firsts.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a < b").select("shingle", "n"))
-    often = saved(counts.filter(F.col("n") > OFTEN))
-    moved = saved(firsts.join(often, "shingle", "left_semi").select("node").distinct())
-    texts = _texts(documents, saved(nodes.join(moved, "node", "left_semi").select("at", "node")), "node")
-    found = all_shingles(texts).join(F.broadcast(often) if often.count() <= MOST_BROADCAST else often, "shingle")
-    last = found.distinct().groupBy("node").agg(F.collect_list(F.struct("shingle", "n")).alias("last"))
-    texts = _texts(documents, saved(nodes.join(last, "node").select("at", "last")), "last")
-    anew = saved(first_shingles(texts, later=True).distinct())
-    keys = saved(counts.select("shingle").union(anew.select("shingle")).distinct())
-    stay = firsts.join(keys, "shingle", "left_semi").join(moved, "node", "left_anti").distinct()
-    held = saved(stay.unionByName(anew))
-    for df in (firsts, counts, often, moved, anew, keys):
+def _counts(rows: DataFrame) -> DataFrame:
+    """(shingle, n) of the shingles that more than one node has; n counts rows."""
+    counts = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
+    return saved(counts.filter("a < b").select("shingle", "n"))
+
+
+def _screened(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes that can be near another."""
+    rows = saved(shingle_rows(documents, True))
+    counts = _counts(rows)
+    shared = rows.join(counts, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    # a node's rows come once for each of its copies
+    out = saved(nodes.join(shared, "node").filter("10 * shared >= copies * ((4 * k + 4) div 5)").select(*nodes.columns))
+    for df in (rows, counts):
         discard(df)
-    out = _of_several(held, "node")
-    discard(held)
     return out
 
 
-def _of_several(rows: DataFrame, column: str) -> DataFrame:
-    """The rows of the shingles that have more than one value of ``column``."""
-    several = saved(rows.groupBy("shingle").agg(F.min(column).alias("a"), F.max(column).alias("b")).filter("a < b").select("shingle"))
-    return saved(rows.join(several, "shingle", "left_semi"))
+def _held(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(shingle, node, k, small): the first shingles of the nodes that another may have among its; ``small``: also as the smaller set."""
+    screened = _screened(documents, nodes)
+    rows = saved(shingle_rows(_texts(documents, screened), False).distinct())
+    counts = _counts(rows)
+    shared = rows.join(counts, "shingle")
+    own = Window.partitionBy("node")
+    place = F.col("k") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle"))  # from 1; those that no other has come first
+    placed = shared.withColumn("place", place).filter("place <= k - (4 * k + 4) div 5 + 1")
+    out = saved(placed.select("shingle", "node", "k", F.expr("place <= k - (8 * k + 8) div 9 + 1").alias("small")))
+    for df in (rows, counts, screened):
+        discard(df)
+    return out
 
 
 def _in_components(held: DataFrame, linked: DataFrame) -> DataFrame:
     """``held`` with each node's component ``c``, of the shingles that more than one component has."""
-    at = held.join(linked, "node", "left").select("shingle", "node", "k", F.coalesce("component", "node").alias("c"))
-    return _of_several(saved(at), "c")
-
-
-def _shared_enough(met: DataFrame) -> DataFrame:
-    """(u, v) of the rows (u, v, ku, kv), one a first shingle that both have, that can be near."""
-    enough = F.least(F.lit(SHARED), F.expr("(4 * least(ku, kv) + 4) div 5"))
-    met = met.filter("5 * ku >= 4 * kv and 5 * kv >= 4 * ku")
-    return met.groupBy("u", "v", "ku", "kv").agg(F.count("*").alias("n")).filter(F.col("n") >= enough).select("u", "v")
+    at = saved(held.join(linked, "node", "left").select("shingle", "node", "k", "small", F.coalesce("component", "node").alias("c")))
+    mixed = saved(at.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("small").alias("s")).filter("a < b and s").select("shingle"))
+    out = saved(at.join(mixed, "shingle", "left_semi"))
+    discard(at)
+    return out
 
 
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, th, component_id) for every row: the smallest id of its group, null if all are null."""
     rows = saved(nodes_of(documents))
-    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.min("fp").alias("fp")))
+    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.min("k").alias("k"), F.min("fp").alias("fp"), F.count("*").alias("copies")))
     edges = _verified(documents, nodes, golay_pairs(nodes).distinct())
 
     held = _held(documents, nodes)
+    alike = "5 * ku >= 4 * kv and 5 * kv >= 4 * ku and cu <> cv"
     at = _in_components(held, components(edges))
-    head = saved(at.groupBy("shingle").agg(F.min(F.struct("node", "k", "c")).alias("h")))
-    stars = at.join(head, "shingle").filter("c <> h.c").select(F.col("node").alias("u"), F.col("h.node").alias("v"), F.col("k").alias("ku"), F.col("h.k").alias("kv"))
-    edges = saved(edges.union(_verified(documents, nodes, _shared_enough(stars))))
+    u = at.select("shingle", F.col("node").alias("u"), F.col("k").alias("ku"), F.col("c").alias("cu"))
+    head = saved(at.groupBy("shingle").agg(F.min(F.struct("node", "k", "c")).alias("h")).select("shingle", F.col("h.node").alias("v"), F.col("h.k").alias("kv"), F.col("h.c").alias("cv")))
+    edges = saved(edges.union(_verified(documents, nodes, u.join(head, "shingle").filter(alike).select("u", "v").distinct())))
 
     at = _in_components(held, components(edges))
-    a = at.select("shingle", F.col("node").alias("u"), F.col("k").alias("ku"), F.col("c").alias("cu"))
-    b = at.select("shingle", F.col("node").alias("v"), F.col("k").alias("kv"), F.col("c").alias("cv"))
-    pairs = a.join(b, "shingle").filter("u < v and cu <> cv and 5 * ku >= 4 * kv and 5 * kv >= 4 * ku")
-    found = components(edges.union(_verified(documents, nodes, _shared_enough(pairs))))
+    u = at.select("shingle", F.col("node").alias("u"), F.col("k").alias("ku"), F.col("c").alias("cu"))
+    v = at.filter("small").select("shingle", F.col("node").alias("v"), F.col("k").alias("kv"), F.col("c").alias("cv"))
+    pairs = u.join(v, "shingle").filter(alike + " and (ku > kv or ku = kv and u > v)").select("u", "v").distinct()
+    found = components(edges.union(_verified(documents, nodes, pairs)))
 
     named = rows.join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
     smallest = saved(named.groupBy("c").agg(F.min("doc_id").alias("component_id")))
