@@ -6,9 +6,13 @@ anchor and chain, hashed to 32 bits, are a signature. The fingerprint is the set
 digits each, sorted. A text without an anchor has one signature, of all of its words. Two fingerprints
 are compared by the Jaccard similarity of their sets.
 
-``similar_pairs`` is the join: sets are partitioned by length, a set meets only sets of the lengths
-that its threshold allows, and only through its rarest signatures (prefix filter), so that frequent
-ones build no large groups; then the exact similarity decides.
+``similar_pairs`` is the join. Sets are partitioned by length, in steps of the threshold, so that a set can
+be similar only to sets of its own partition and the next lower one: it looks there, by the partition's
+number and one signature. It shows its rarest signatures only (prefix filter), fewer as the smaller of
+two, so that frequent ones build no large groups; then the exact similarity decides.
+``similar_documents`` has a row a document: its class (equal sets) and the number of other classes that
+are similar. The query of this operator compares neighbours only, as its contract says; the query
+``similar_fingerprints`` runs the join over all documents.
 
 Defined cases: null text is the empty text; the next of the last document is the first, of a single
 document itself; rows with one doc_id follow each other by text, descending, and a null id comes
@@ -17,10 +21,12 @@ last; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, saved, table
 
 CHAIN = 2
 
@@ -69,9 +75,9 @@ def with_next(documents: DataFrame, parts: int | None = None) -> DataFrame:
     looks ahead, and the last row of a range gets the first row of the next range that has rows.
     """
     spark = documents.sparkSession
-    parts = parts or max(1, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    edges = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 1000 * 10).alias("e")).first()["e"] or []
+    edges = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts)).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
     part = F.size(F.filter(F.lit(edges) if edges else F.array().cast("array<bigint>"), lambda e: e <= F.col("doc_id")))
     rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(part))
@@ -94,23 +100,51 @@ def edited(text, next_text):
     return F.concat(F.substring(text, F.lit(1), n - k), F.substring(next_text, F.lit(1), k))
 
 
+def _partition(n, least: float):
+    """Number of a length's partition: two lengths whose ratio is ``least`` or more are at most one apart."""
+    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(least))).cast("int")
+
+
 def similar_pairs(sets: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, similarity) with a < b over ``sets`` (id, sigs), one row a set: all pairs at ``least`` or more.
 
-    Equal sets should be one row. A set of n signatures looks with its n - ceil(least n) + 1 rarest.
+    Equal sets should be one row, or each pair of them is a row. Of two sets, that with more signatures (n)
+    shows n - ceil(least n) + 1 of them, the other one n - ceil(2 least n / (1 + least)) + 1, the rarest first.
+    Key tables are written before they are joined, so that Spark can split the rows of a hot key.
     """
     sets = sets.select("id", "sigs", F.size("sigs").alias("n")).filter("n > 0")
     each = sets.select("id", "n", F.explode("sigs").alias("s"))
-    counts = each.groupBy("s").agg(F.count("*").alias("c"))
-    rank = Window.partitionBy("id").orderBy("c", "s")
-    keys = each.join(counts, "s").filter("c > 1 or n = 1").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
-    keys = keys.select("id", "n", "s")
-    other = keys.select(F.col("id").alias("b"), F.col("n").alias("m"), "s")
-    met = keys.join(other, "s").filter((F.col("id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
+    counts = saved(each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
+    own = Window.partitionBy("id")
+    # signatures of one set only come first: they are what a set has besides its shared ones
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "s"))
+    most = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1
+    keys = each.join(counts, "s").withColumn("place", place).filter(F.col("place") <= most(least))
+    keys = saved(keys.select("id", "n", "s", (F.col("place") <= most(2 * least / (1 + least))).alias("small")))
+    looks = keys.select("id", "n", "s", F.explode(F.array(_partition(F.col("n"), least), _partition(F.col("n"), least) - 1)).alias("part"))
+    there = keys.filter("small").select(F.col("id").alias("b"), F.col("n").alias("m"), "s", _partition(F.col("n"), least).alias("part"))
+    fits = (F.col("m") >= F.col("n") * F.lit(least) - 1e-9) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("id"))))
+    met = looks.join(there, ["part", "s"]).filter(fits).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    met = saved(met)
     left = sets.select(F.col("id").alias("a"), F.col("sigs").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("sigs").alias("y"))
     scored = met.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("similarity"))
-    return scored.filter(F.col("similarity") >= least - 1e-9)
+    out = saved(scored.filter(F.col("similarity") >= least - 1e-9))
+    for df in (counts, keys, met):
+        discard(df)
+    return out
+
+
+def similar_documents(documents: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, class_id, copies, links) for every row: the smallest id with an equal fingerprint, how many rows have it,
+    and how many other fingerprints are similar at ``least`` or more."""
+    rows = documents.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs"))
+    rows = saved(rows.withColumn("id", F.md5(as_text(F.col("sigs")).cast("binary"))))
+    classes = saved(rows.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sigs").alias("sigs")))
+    pairs = similar_pairs(classes, least)
+    links = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("links"))
+    told = saved(classes.select("id", "class_id", "copies").join(links, "id", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    return rows.select("doc_id", "id").join(told, "id").select("doc_id", "class_id", "copies", "links")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -120,6 +154,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
+def similar_query(spark, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 _LIST = "[" + ", ".join(f"'{w}'" for w in sorted(set(COMMON_WORDS))) + "]"
 
 
@@ -141,3 +179,12 @@ f AS (SELECT doc_id, n_chars, edited, {_sql_signatures("e.text")} AS own, {_sql_
 SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
 {_LIKE.format(a="own", b="other")} AS near_edited, {_LIKE.format(a="own", b="next")} AS near_next FROM f
 """
+
+SIMILAR_ORACLE = f"""
+WITH f AS (SELECT doc_id, {_sql_signatures("coalesce(text, '')")} AS sigs FROM documents),
+c AS (SELECT sigs, md5(array_to_string(sigs, '')) AS id, min(doc_id) AS class_id, count(*) AS copies FROM f GROUP BY sigs),
+e AS (SELECT id, len(sigs) AS n, unnest(sigs) AS s FROM c),
+p AS (SELECT a.id, b.id AS other FROM e a JOIN e b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.8::DOUBLE - 1e-9),
+l AS (SELECT id, count(*) AS links FROM p GROUP BY id)
+SELECT f.doc_id, c.class_id, c.copies, coalesce(l.links, 0)::BIGINT AS links FROM f JOIN c ON f.sigs = c.sigs LEFT JOIN l ON l.id = c.id
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_document_fingerprints": op8_spotsigs.query,
     "op9_substring_dedup": op9_substrings.query,
     "op10_license_scan": op10_licenses.query,
+    "similar_fingerprints": op8_spotsigs.similar_query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_mix_sources": op6_mix.ORACLE,
     "op8_document_fingerprints": op8_spotsigs.ORACLE,
     "op9_substring_dedup": op9_substrings.ORACLE,
+    "similar_fingerprints": op8_spotsigs.SIMILAR_ORACLE,
 }

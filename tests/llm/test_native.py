@@ -20,3 +20,8 @@ def test_op1(spark):
 def test_op8(spark):
     text = plan(op8_spotsigs.query(spark, SF))
     assert not re.search(PYTHON, text) and "ReadSchema: struct<doc_id:bigint,text:string>" in text
+
+
+def test_op8_join(spark):
+    text = plan(op8_spotsigs.similar_query(spark, SF))
+    assert not re.search(PYTHON, text)

@@ -89,3 +89,23 @@ def test_similar_pairs(spark):
     for least in (0.8, 0.5):
         got = {(r.a, r.b) for r in op.similar_pairs(df, least).collect()}
         assert got == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(set(sets[i]), set(sets[j])) >= least - 1e-9}
+
+
+def test_similar_documents(spark):
+    rows = [(i, t) for i, t in enumerate(texts())] + [(None, "the house"), (7, "the green stone")]
+    rng = random.Random(12)
+    for i in range(60):
+        ws = " ".join(f"the w{k} v{k}" for k in range(rng.choice([8, 30, 32, 36]))).split()
+        for _ in range(rng.randint(0, 4)):
+            ws[rng.randrange(len(ws))] = "word%d" % (i % 7)
+        rows.append((500 + i, " ".join(ws)))
+    sets = [frozenset(spots(t or "")) for _, t in rows]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, id string, links int")
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.class_id, r.copies, r.links) for r in op.similar_documents(df).collect())
+    kinds = set(sets)
+    want = []
+    for (d, _), s in zip(rows, sets, strict=True):
+        ids = [e for (e, _), x in zip(rows, sets, strict=True) if x == s]
+        want.append((-1 if d is None else d, min((e for e in ids if e is not None), default=None), len(ids), sum(jaccard(s, x) >= 0.8 - 1e-9 for x in kinds) - 1))
+    assert got == sorted(want) and sum(w[3] for w in want) > 20
+    assert op.similar_documents(df.limit(0)).count() == 0
