@@ -719,31 +719,38 @@ def read_from_page_query(spark, d):
     return read_page.answer(logged_queries(spark, d), embedded_chunks(spark, d), HashProvider(), threshold=0.2)
 
 
-@query()
-def response_envelope(spark, d):
-    """The response of each document that is asked something, as JSON."""
-    asked = logged_queries(spark, d)
-    found = read_page.keyword_answer(asked, document_chunks(spark, d).select("url", "chunk_index", "id", "text", stored_path(F.col("section_path")).alias("section_path")))
-    requests = asked.select(F.xxhash64("url").alias("request_id"), F.concat("url", F.lit("#in")).alias("url_in"), "url", "query_id", "query")
-    docs = asked.select("url", F.lit(None).cast("string").alias("title"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("last_crawled"), F.lit(None).cast("string").alias("note"))
-    rows = envelope.page_responses(requests, found.withColumn("place", F.col("rank")), docs)
-    return envelope.to_json(rows, pretty=False)
-
-
 @query(f"SELECT url, chunk_index, id, text, section_path, NULL::DOUBLE AS score FROM ({_LINES})")
 def read_from_page_all(spark, d):
     return read_page.all_chunks(line_chunks(spark, d))
 
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark),
-q AS (SELECT b.item_id AS query_id, 'doc:' || doc_id AS url, regexp_split_to_array(lower(trim(b.text)), '\\s+') AS terms FROM documents d, n JOIN benchmark b ON d.doc_id % n.n = b.item_id WHERE regexp_matches(b.text, '\\S')),
-hit AS (SELECT q.query_id, c.url, c.chunk_index, c.id FROM q JOIN ({_LINES}) c ON c.url = q.url WHERE len(list_filter(q.terms, lambda t: contains(lower(c.text), t))) > 0)
-SELECT query_id, url, rank::INT AS rank, id, 0.5::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY chunk_index, id) AS rank FROM hit) WHERE rank <= 8""")
+_KEYWORDS = f"""n AS (SELECT count(*) AS n FROM benchmark),
+asked AS (SELECT b.item_id AS query_id, d.doc_id, 'doc:' || d.doc_id AS url, b.text AS query FROM documents d, n JOIN benchmark b ON d.doc_id % n.n = b.item_id),
+q AS (SELECT query_id, url, regexp_split_to_array(lower(trim(query)), '\\s+') AS terms FROM asked WHERE regexp_matches(query, '\\S')),
+hit AS (SELECT q.query_id, c.* FROM q JOIN ({_LINES}) c ON c.url = q.url WHERE len(list_filter(q.terms, lambda t: contains(lower(c.text), t))) > 0),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY chunk_index, id) AS rank FROM hit) WHERE rank <= 8)"""
+
+
+@query(f"WITH {_KEYWORDS} SELECT query_id, url, rank::INT AS rank, id, 0.5::DOUBLE AS score FROM found")
 def read_from_page_keywords(spark, d):
     """The fallback without vectors."""
     return read_page.keyword_answer(logged_queries(spark, d), line_chunks(spark, d)).select("query_id", "url", "rank", "id", "score")
 
 
+@query(f"""WITH {_KEYWORDS},
+lists AS (SELECT query_id, url, list({{'id': id, 'text': text, 'score': 0.5::DOUBLE, 'sectionPath': string_split(section_path, '|')}} ORDER BY rank) AS results FROM found GROUP BY query_id, url)
+SELECT to_json({{'requestId': a.doc_id, 'url': a.url || '#in', 'lastCrawled': '2024-01-01T00:00:00.000Z', 'queries': [{{'query': a.query, 'results': coalesce(l.results, [])}}]}})::VARCHAR AS json
+FROM asked a LEFT JOIN lists l ON l.query_id = a.query_id AND l.url = a.url""")
+def response_envelope(spark, d):
+    """The response of each document that is asked something, as JSON."""
+    asked = logged_queries(spark, d)
+    found = read_page.keyword_answer(asked, line_chunks(spark, d))
+    requests = asked.select(F.substring_index("url", ":", -1).cast("long").alias("request_id"), F.concat("url", F.lit("#in")).alias("url_in"), "url", "query_id", "query")
+    docs = asked.select("url", F.lit(None).cast("string").alias("title"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("last_crawled"), F.lit(None).cast("string").alias("note"))
+    rows = envelope.page_responses(requests, found.withColumn("place", F.col("rank")), docs)
+    return envelope.to_json(rows, pretty=False)
+
+
 @query()
 def consolidate_topk(spark, d):
     """Overlapping chunks of each document, scored by their place, the first thirty of it merged."""
