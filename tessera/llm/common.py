@@ -67,8 +67,11 @@ def saved(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what ``saved`` wrote, once no plan reads it any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    remove(df.sparkSession, df._saved_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -243,6 +246,10 @@ def slices(texts: list, most: int = 4_000_000):
 # --- connected components --------------------------------------------------------------------------
 
 
+#: Edges up to which a task may hold all of a centre's.
+MOST_UNSPLIT = 200_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (u, v long).
 
@@ -261,10 +268,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     seen = mark(edges)
     for _ in range(most_rounds):
+        # a centre of many edges is a hot key: joined with a written table, Spark can split its rows
+        kept = saved if seen[0] > MOST_UNSPLIT else lambda df: df
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = kept(large)
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         edges = checkpoint(small.filter("u <> v").distinct())

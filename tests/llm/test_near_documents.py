@@ -52,3 +52,21 @@ def test_nothing_that_is_not_near(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r.doc_id, r.text) for r in cp.dedup_documents(spark, df, "").collect()]
     assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    """The way of large tables, which writes what hot centres are joined with, gives the same."""
+    from tessera.llm import common
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(60)]
+    parent = {n: n for e in edges for n in e}
+    for _ in range(100):
+        for u, v in edges:
+            parent[u] = parent[v] = min(parent[u], parent[v])
+    alone = {n for n in parent if not any(n in e and e[0] != e[1] for e in edges)}
+    want = {n: p for n, p in parent.items() if n not in alone}
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (200_000, 0):
+        monkeypatch.setattr(common, "MOST_UNSPLIT", most)
+        assert {r.node: r.component for r in common.components(df).collect()} == want

@@ -79,3 +79,53 @@ def test_nothing_to_learn_from(spark):
     assert weights is None
     assert {(r.lang_pred, r.score) for r in op.predict(df, langs, weights).collect()} == {("und", 0.0)}
     assert op.predict(df.limit(0), langs, weights).count() == 0
+
+
+def plain_prediction(text, langs, p):
+    """A document's label and score, byte by byte from the equations of the network: no batches, no tables."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = text.encode()
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(part, d):
+        h, out, size = np.zeros(op.HIDDEN), [], op.HIDDEN
+        for b in part if d == "f" else part[::-1]:
+            given = p[f"W{d}"] @ p["E"][b] + p[f"c{d}"][:, 0]
+            z = sigma(given[:size] + p[f"U{d}"][:size] @ h)
+            r = sigma(given[size : 2 * size] + p[f"U{d}"][size : 2 * size] @ h)
+            n = np.tanh(given[2 * size :] + p[f"U{d}"][2 * size :] @ (r * h))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    total, count = np.zeros(len(langs)), 0
+    for at in range(0, len(data), op.PIECE):
+        # a piece and what leads into it on either side; beyond the text there are zero bytes
+        wide = bytes(max(0, op.LEAD - at)) + data[max(0, at - op.LEAD) : at + op.PIECE + op.LEAD]
+        wide += bytes(op.PIECE + 2 * op.LEAD - len(wide))
+        fwd, bwd = states(wide, "f"), states(wide, "b")
+        for i in range(op.LEAD, op.LEAD + min(op.PIECE, len(data) - at)):
+            b = wide[i]
+            if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128:
+                e = np.exp(p["V"] @ np.concatenate([fwd[i], bwd[i]]) + p["o"][:, 0])
+                total, count = total + e / e.sum(), count + 1
+    mean = total / max(count, 1)
+    return langs[int(mean.argmax())], float(mean.max())
+
+
+def test_query_equals_plain_version(spark, tmp_path):
+    import zlib
+
+    rows = [r[:3] for r in corpus(160)] + [(300, None, "en"), (301, "", None), (302, "12 34", "de"), (303, LANGS["fr"] * 40, None), (None, LANGS["de"], "de"), (304, "Ünï", "x"), (5, LANGS["en"], "en"), (5, LANGS["en"], "en")]
+    df = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    langs, weights = op.learn(df)
+    p = {k: v.astype(np.float64) for k, v in weights.items()}
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.held_out, r.lang_pred, round(r.score, 3)) for r in op.query(spark, str(tmp_path)).collect())
+    want = []
+    for d, text, _ in rows:
+        label, score = plain_prediction(text, langs, p)
+        want.append((-1 if d is None else d, d is not None and zlib.crc32(str(d).encode()) % 4 == 2, label, score))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert all(abs(g[3] - w[3]) < 2e-3 for g, w in zip(got, sorted(want), strict=True))
