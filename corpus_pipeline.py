@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import near_documents, op2_decontaminate, op3_simhash, op4_langid, op5_linededup, op6_mix
-from tessera.llm.common import WORD_PATTERN, given_folder, table, unpacked
+from tessera.llm.common import WORD_PATTERN, given_folder, remove, table, unpacked
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each but the last is written as Parquet and read again."""
+    """All stages in turn over ``documents``; each but the last is written as Parquet and read again, and what only it read is deleted."""
     shared = given_folder(spark) or tempfile.mkdtemp(prefix="tessera-pipeline-")
     docs = table(spark, sf_dir, "documents")
     base = f"{shared}/pipeline-{uuid.uuid4().hex}"
@@ -73,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{k}-{name}")
             docs = spark.read.parquet(f"{base}/{k}-{name}")
+            if k:
+                remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
