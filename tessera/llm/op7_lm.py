@@ -7,8 +7,10 @@ document. Two scores share one pass over the text:
 * ``score``: a unigram model over the pieces of an existing subword vocabulary. A word's probability
   is the sum over all its segmentations of the products of piece probabilities, by a forward
   recursion in log space over the lattice of pieces; characters that are no piece go by their bytes.
-  The vocabulary is used as it is. Piece weights are learned from all training words, cut by the
-  vocabulary's own tokenizer, on top of a prior of one count a piece that its scores (ranks) order.
+  The vocabulary is used as it is. Its scores are ranks, so the first weight of a piece is one over its
+  rank; they weigh all segmentations of all training words, and the expected uses of each piece, on top
+  of those first weights (one count a piece on average), are its next weight: ``ROUNDS`` rounds of
+  expectation maximisation over the lattice, by the same forward recursion and one back.
 
 Scale: counts of words are gathered by a grouped sum, with partial sums in each task. A lattice is
 solved once for each distinct word of the corpus, not for each token. Documents then meet the word
@@ -18,7 +20,8 @@ is dropped. Sums are per input row, so repeated rows each get their scores.
 
 Defined cases: null text is the empty text, of one token; a null id is in no fold, so it is scored as
 training text, not held out, but never trained on; an empty table gives an empty result; without
-training text all base probabilities are 1 (0.1 over 0.1); further columns are ignored.
+training text all base probabilities are 1 (0.1 over 0.1); very long texts and words are taken whole
+(a few numbers a character of one word are held); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from .common import bucket_of, discard, saved, slices, table
 FOLDS, HELD_OUT = 10, 0
 ALPHA = 0.1
 HEAD = 150_000
+ROUNDS = 2
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words that a task holds before it passes their counts on.
 MOST_HELD = 250_000
@@ -61,12 +65,6 @@ class Pieces:
         self.prior[used] = 1 / (1 + score.max() - score)
         self.prior *= len(used) / self.prior.sum()
 
-    def counts(self, words: list[str], times: np.ndarray) -> np.ndarray:
-        """Times that each piece is used when the words are cut by the vocabulary's own tokenizer."""
-        cut = self.tokenizer.encode(words, num_threads=1)
-        ids = np.fromiter((i for c in cut for i in c), dtype=np.int64)
-        return np.bincount(ids, np.repeat(times, [len(c) for c in cut]), self.size)
-
 
 class Lattice:
     """Marginal probabilities of words under piece weights."""
@@ -76,15 +74,18 @@ class Lattice:
             log = np.log(weight / weight.sum())
         self.end = float(log[pieces.end]) / _LN10
         self.bytes = [float(log[pieces.byte[b]]) if b in pieces.byte else -50.0 for b in range(256)]
+        self.byte_id = pieces.byte
         self.root: dict = {}
         for i, text in pieces.text.items():
             node = self.root
             for ch in text:
                 node = node.setdefault(ch, {})
-            node[""] = float(log[i])
+            node[""] = float(log[i]), i
 
     def log10(self, word: str) -> float:
-        text = "▁" + word
+        return self._reach("▁" + word)[-1] / _LN10
+
+    def _reach(self, text: str) -> list:
         n = len(text)
         reach = [None] * (n + 1)  # log probability of all ways to come here
         reach[0] = 0.0
@@ -101,7 +102,7 @@ class Lattice:
                 p = node.get("")
                 if p is not None:
                     whole |= j == i
-                    new, old = here + p, reach[j + 1]
+                    new, old = here + p[0], reach[j + 1]
                     if old is None:
                         reach[j + 1] = new
                     else:
@@ -109,7 +110,37 @@ class Lattice:
             if not whole:
                 new, old = here + sum(self.bytes[b] for b in text[i].encode()), reach[i + 1]
                 reach[i + 1] = new if old is None else max(old, new) + log1p(exp(-abs(old - new)))
-        return reach[n] / _LN10
+        return reach
+
+    def expect(self, word: str, times: float, uses: list) -> None:
+        """Adds to ``uses`` how often each piece is expected in ``times`` times the word."""
+        text = "▁" + word
+        reach, n, exp, root = self._reach(text), len(text), math.exp, self.root
+        through = [0.0] * n + [times]  # how many of the times the segmentation has an edge at each place
+        for i in range(n - 1, -1, -1):
+            here = reach[i]
+            if here is None:
+                continue
+            node, whole, mass = root, False, 0.0
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                p = node.get("")
+                if p is not None:
+                    whole |= j == i
+                    if through[j + 1]:
+                        q = through[j + 1] * exp(here + p[0] - reach[j + 1])
+                        mass += q
+                        uses[p[1]] += q
+            if not whole and through[i + 1]:
+                data = text[i].encode()
+                q = through[i + 1] * exp(here + sum(self.bytes[b] for b in data) - reach[i + 1])
+                mass += q
+                for b in data:
+                    if b in self.byte_id:
+                        uses[self.byte_id[b]] += q
+            through[i] = mass
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -140,22 +171,27 @@ def _learns():
     return F.coalesce(bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(False))
 
 
-def piece_weights(words: DataFrame, pieces: Pieces, model, ends: int) -> np.ndarray:
-    """Prior plus corpus counts of each piece; the driver gets one number a piece of the vocabulary."""
-
-    def run(batches):
-        own = Pieces(model.value)
-        total = np.zeros(own.size)
-        for b in batches:
-            total += own.counts([w.decode() for w in b.column("word").to_pylist()], b.column("c").to_numpy(zero_copy_only=False))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["piece", "n"])
-
-    weight = pieces.prior.copy()
-    for r in words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        if weight[r["piece"]] > 0:
+def piece_weights(words: DataFrame, pieces: Pieces, model, ends: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the pieces after some rounds; the driver gets one number a piece of the vocabulary from each."""
+    weight = pieces.prior
+    learned = words.filter("c > 0").select("word", "c")
+    for _ in range(rounds):
+        given = words.sparkSession.sparkContext.broadcast(weight)
+
+        def run(batches, given=given):
+            own = Pieces(model.value)
+            lattice, uses = Lattice(own, given.value), [0.0] * own.size
+            for b in batches:
+                for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
+                    lattice.expect(word.decode(), c, uses)
+            total = np.array(uses)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["piece", "n"])
+
+        weight = pieces.prior.copy()
+        for r in learned.mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
             weight[r["piece"]] += r["n"]
-    weight[pieces.end] += ends
+        weight[pieces.end] += ends
     return weight
 
 

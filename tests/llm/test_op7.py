@@ -21,6 +21,38 @@ def segmentations(text, pieces):
                 yield p * rest
 
 
+def ways(text, pieces, byte):
+    """(probability, ids) of each segmentation; pieces: text -> (id, probability), byte: the same of each byte."""
+    if not text:
+        yield 1.0, []
+    for n in range(1, len(text) + 1):
+        if text[:n] in pieces:
+            i, p = pieces[text[:n]]
+            for rest, ids in ways(text[n:], pieces, byte):
+                yield p * rest, [i, *ids]
+    if text and text[0] not in pieces:
+        own = [byte[b] for b in text[0].encode()]
+        for rest, ids in ways(text[1:], pieces, byte):
+            yield math.prod(p for _, p in own) * rest, [*[i for i, _ in own], *ids]
+
+
+def plain_weights(train, own, ends, rounds):
+    """Expectation maximisation by going through all segmentations."""
+    weight = own.prior.copy()
+    for _ in range(rounds):
+        share = weight / weight.sum()
+        pieces, byte = {t: (i, share[i]) for i, t in own.text.items()}, {b: (i, share[i]) for b, i in own.byte.items()}
+        weight = own.prior.copy()
+        for word, n in train.items():
+            found = list(ways("▁" + word, pieces, byte))
+            total = sum(p for p, _ in found)
+            for p, ids in found:
+                for i in ids:
+                    weight[i] += n * p / total
+        weight[own.end] += ends
+    return weight
+
+
 def test_lattice_sums_all_segmentations():
     own = op.Pieces(PROTO)
     lattice = op.Lattice(own, own.prior)
@@ -48,10 +80,7 @@ def test_scores_equal_brute_force(spark):
     ends = sum(learn(i) for i, _ in split)
     total, distinct = sum(train.values()) + ends, len(train) + 1
     own = op.Pieces(PROTO)
-    import numpy as np
-
-    weight = own.prior + np.where(own.prior > 0, own.counts(list(train), np.array([float(n) for n in train.values()])), 0)
-    weight[own.end] += ends
+    weight = plain_weights(train, own, ends, op.ROUNDS)
     lattice = op.Lattice(own, weight)
     want = []
     for i, ws in split:
@@ -69,3 +98,20 @@ def test_empty_and_untrained(spark):
     r = op.scores(df).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (3, 0, 0, False) and r.base_score == pytest.approx(0) and r.score < 0
     assert op.scores(df.limit(0)).count() == 0
+
+
+def test_rounds_raise_the_likelihood(spark):
+    own = op.Pieces(PROTO)
+    train = Counter({"the": 50, "thethe": 3, "rivers": 9, "straße": 4, "\U0001f9ff": 2})
+    words = spark.createDataFrame([(w.encode(), n) for w, n in train.items()], "word binary, c long").repartition(3)
+    model = spark.sparkContext.broadcast(PROTO)
+    seen = []
+    for rounds in (0, 1, 2):
+        got = op.piece_weights(words, own, model, 7, rounds)
+        assert got == pytest.approx(plain_weights(train, own, 7, rounds))
+        lattice = op.Lattice(own, got)
+        seen.append(sum(n * lattice.log10(w) for w, n in train.items()))
+    assert seen[0] < seen[1] < seen[2]
+    long, uses = "x" * 20_000, [0.0] * own.size
+    op.Lattice(own, own.prior).expect(long, 2.0, uses)
+    assert sum(n * len(own.text.get(i, "")) for i, n in enumerate(uses)) == pytest.approx(2 * 20_001)
