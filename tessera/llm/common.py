@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -230,6 +231,19 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+_SPACE = re.compile(b"[" + re.escape(SPACES) + b"]")
+
+
+def word_lists(text: bytes, most: int = 1 << 20):
+    """The words of a text, in lists of those of about ``most`` bytes, so that a long text's words aren't held together."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + most) if at + most < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def slices(texts: list, most: int = 4_000_000):
     """Index ranges whose texts have ``most`` bytes together, or one longer text alone."""
     begin, size = 0, 0

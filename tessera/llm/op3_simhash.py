@@ -13,7 +13,8 @@ fingerprints differ in at most 2 bits if and only if some word is within 1 bit o
 emits its 65 words within 1 bit, and all that share a word are linked to its least member.
 
 Defined cases: repeated rows are copies of each other; a null id is fingerprinted and takes its
-group's smallest id; an empty table gives an empty result; further columns are ignored.
+group's smallest id; an empty table gives an empty result; very long texts are hashed whole, in parts;
+further columns, whatever their names, are ignored, and kept by ``representatives``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import checkpoint, components, discard, packed, saved, table, unpacked
+from .common import checkpoint, components, discard, packed, saved, table, unpacked, word_lists
 
 WORDS, SEED, RADIUS = 3, 42, 2
 #: Buckets with more distinct fingerprints than this go the way of shared 1-bit neighbours.
@@ -38,21 +39,22 @@ def fingerprint(text: bytes | None, size: int = WORDS, seed: int = SEED) -> int:
     """Of one text in UTF-8, as an unsigned 64-bit integer."""
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) <= size:
-        return xxh64_intdigest(b" ".join(words), seed)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[: len(words) - size]]
-    count = np.zeros(64, dtype=np.int64)
-    total = len(starts)
-    for i in range(0, total, 50_000):  # a long text in parts of bounded memory
-        cuts = map(slice, starts[i : i + 50_000], (e - 1 for e in ends[size - 1 + i : size - 1 + i + 50_000]))
-        n = min(50_000, total - i)
+    count, total, left = np.zeros(64, dtype=np.int64), 0, []
+    for words in word_lists((text or b"").lower()):  # a long text in parts of bounded memory
+        words = left + words
+        left = words[max(0, len(words) - size + 1) :]
+        n = len(words) - size + 1
+        if n < 1:
+            continue
+        joined = b" ".join(words)
+        ends = list(accumulate(len(w) + 1 for w in words))
+        cuts = map(slice, [0, *ends[: n - 1]], (e - 1 for e in ends[size - 1 :]))
         hashes = np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, cuts), repeat(seed)), dtype=np.uint64, count=n)
-        count += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(n, 64).sum(axis=0, dtype=np.int64)
+        for i in range(0, n, 50_000):
+            count += np.unpackbits(hashes[i : i + 50_000].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        total += n
+    if not total:
+        return xxh64_intdigest(b" ".join(left), seed) if left else 0
     return int(np.packbits(count * 2 > total, bitorder="little").view(np.uint64)[0])
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, discard, saved, slices, table
+from .common import bucket_of, discard, saved, slices, table, word_lists
 
 FOLDS, HELD_OUT = 10, 0
 ALPHA = 0.1
@@ -158,9 +158,10 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, learn in zip(b.column("text").to_pylist(), b.column("learn").to_pylist(), strict=True):
-                (train if learn else rest).update(text.lower().split())
-                if len(train) + len(rest) >= MOST_HELD:
-                    yield flush()
+                for words in word_lists(text.lower()):
+                    (train if learn else rest).update(words)
+                    if len(train) + len(rest) >= MOST_HELD:
+                        yield flush()
         yield flush()
 
     rows = documents.filter("text is not null").select(F.col("text").cast("binary").alias("text"), _learns().alias("learn"))
@@ -217,12 +218,15 @@ def _head_sums(documents: DataFrame, head) -> DataFrame:
             for low, high in slices(texts, 8_000_000):
                 total, sums, tails = [], [], []
                 for text in texts[low:high]:
-                    words = (text or b"").lower().split()
-                    at = np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-                    inside = at[at >= 0]
-                    rest = Counter(words[i] for i in np.flatnonzero(at < 0).tolist()) if len(inside) < len(words) else {}
-                    total.append(len(words))
-                    sums.append((int(known[inside].sum()), float(base[inside].sum()), float(lat[inside].sum())))
+                    n, own, rest = 0, [0, 0.0, 0.0], Counter()
+                    for words in word_lists((text or b"").lower()):
+                        at = np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                        inside = at[at >= 0]
+                        if len(inside) < len(words):
+                            rest.update(words[i] for i in np.flatnonzero(at < 0).tolist())
+                        n, own = n + len(words), [own[0] + int(known[inside].sum()), own[1] + float(base[inside].sum()), own[2] + float(lat[inside].sum())]
+                    total.append(n)
+                    sums.append(own)
                     tails.append([{"word": w, "n": n} for w, n in rest.items()])
                 columns = [pa.array(total, pa.int64()), *[pa.array([s[k] for s in sums], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], pa.array(tails, tail_type)]
                 cut = [b.column(c).slice(low, high - low) for c in ("doc_id", "held_out")]

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from tessera.llm import golay, op3_simhash
+from tessera.llm import op3_simhash as op
 
 
 def brute(text):
@@ -74,3 +75,14 @@ def test_large_ball_without_pairs(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op3_simhash.groups(df).count() == 0
+
+
+def test_words_of_long_texts_come_in_parts():
+    from tessera.llm.common import word_lists
+
+    rng = random.Random(7)
+    for _ in range(500):
+        text = bytes(rng.choices(b"ab \n\t\x0b\x0c\rc\xc2\xa0", k=rng.randint(0, 60)))
+        assert sum(word_lists(text, rng.randint(1, 9)), []) == text.split()
+    words = rng.choices(["one", "two", "three", "four"], k=400_000)  # over one part of a text
+    assert op.fingerprint(" ".join(words).encode()) == brute(" ".join(words))
