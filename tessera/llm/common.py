@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from functools import lru_cache
 
@@ -53,16 +54,17 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written as Parquet in the shared folder and read again.
 
     For tables with a row a line or more: columns pack several times smaller than checkpointed rows.
-    Shuffle files that only the written plan needed are given back at once: the driver's collector
-    would do so some day, and until then they'd add up on the executors' disks.
+    Shuffle files that only the written plan needed are given back at once, if it took a while: the
+    driver's collector would do so some day, and until then they'd add up on the executors' disks.
     """
-    spark = df.sparkSession
+    spark, begun = df.sparkSession, time.monotonic()
     path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - begun > 1:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
