@@ -78,8 +78,9 @@ def revalidated(requests: DataFrame, documents: DataFrame) -> DataFrame:
 class Store:
     """One directory for each embedding model below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, model: str, dim: int | None = None):
-        self.spark, self.model = spark, model
+    def __init__(self, spark: SparkSession, root: str, model: str, dim: int | None = None, buckets: int = BUCKETS):
+        """``buckets``: of tables that have no rows yet. A write's cost is that of the buckets that it changes."""
+        self.spark, self.model, self.buckets = spark, model, buckets
         self.root = f"{root.rstrip('/')}/model={model_directory(model)}"
         self.configure(dim)
 
@@ -94,7 +95,7 @@ class Store:
         """The pointer: number of buckets, folder of each one that has rows, and folders that the next write deletes."""
         fs, p = self._fs(f"{self.root}/{name}/CURRENT")
         if not fs.exists(p):
-            return {"buckets": 1 if name == "meta" else BUCKETS, "folders": {}, "old": []}
+            return {"buckets": 1 if name == "meta" else self.buckets, "folders": {}, "old": []}
         stream = fs.open(p)
         try:
             text = bytes(stream.readAllBytes()).decode()
@@ -125,13 +126,15 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _write(self, name: str, rows: DataFrame, schema: str, buckets: list[int] | None = None, files: int | None = None) -> None:
-        """Replace the rows of ``buckets``, or of all, by ``rows``, which must be of these buckets."""
+    def _write(self, name: str, rows: DataFrame, schema: str, buckets: list[int] | None = None) -> None:
+        """Replace the rows of ``buckets``, or of all, by ``rows``, which must be of these buckets.
+
+        Rows are gathered by bucket in files of the advisory size: a large bucket is split, small ones share a task.
+        """
         state, version, kinds = self._state(name), uuid.uuid4().hex, StructType.fromDDL(schema)
         own = F.lit(0) if state["buckets"] == 1 else bucket_of(F.col("url"), state["buckets"])
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds], own.alias("bucket"))
-        rows = rows.repartition(files, "bucket") if files else rows.repartition("bucket") if state["buckets"] > 1 else rows
-        rows.write.partitionBy("bucket").parquet(f"{self.root}/{name}/{version}")
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{version}")
         fs, p = self._fs(f"{self.root}/{name}/{version}")
         new = {f.getPath().getName().partition("=")[2]: f"{version}/{f.getPath().getName()}" for f in fs.listStatus(p) if f.isDirectory()}
         gone = {b: f for b, f in state["folders"].items() if buckets is None or int(b) in buckets}
@@ -244,20 +247,23 @@ class Store:
 
     def delete_expired(self, cutoff) -> dict:
         """Remove documents crawled before ``cutoff`` and their chunks; what was removed."""
-        from ..plans.retention import dry_run, survivors
+        from ..plans.retention import dry_run, expired, survivors
 
         report = dry_run(self.documents, self.chunks, cutoff).first().asDict()
         if report["documents"]:
-            documents, chunks = survivors(self.documents, self.chunks, cutoff)
-            self._write("chunks", chunks, CHUNKS)
-            self._write("documents", documents, DOCUMENTS)
+            old = expired(self.documents, cutoff).select("url")
+            touched = {n: self._buckets_of(n, old) for n in ("documents", "chunks")}
+            documents, chunks = survivors(self._read("documents", DOCUMENTS), self._read("chunks", CHUNKS, touched["chunks"]), cutoff)
+            self._write("chunks", chunks, CHUNKS, touched["chunks"])
+            kept = documents.filter(bucket_of(F.col("url"), self._state("documents")["buckets"]).isin(touched["documents"]))
+            self._write("documents", kept, DOCUMENTS, touched["documents"])
         return report
 
-    def compact(self, files: int = 1) -> None:
-        """Rewrite the tables with a file a bucket, written by ``files`` tasks, and delete what was replaced at once."""
+    def compact(self) -> None:
+        """Rewrite the tables in files of the advisory size, and delete what was replaced at once."""
         for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS)):
             if self._state(name)["folders"]:
-                self._write(name, self._read(name, schema), schema, files=files)
+                self._write(name, self._read(name, schema), schema)
                 state = self._state(name)
                 self._point(name, state | {"old": []})
                 self._delete(name, state["old"])
