@@ -144,8 +144,8 @@ def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataF
     pairs = saved(pairs)
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     # written first, so that its size is known, and all texts are sent around only where it is large
-    chosen = saved(nodes.join(wanted, "node", "left_semi").select("at"))
-    sets = saved(_mapped(_texts(documents, chosen), [], "node long, shingles array<long>", make).dropDuplicates(["node"]))
+    chosen = saved(nodes.join(wanted, "node", "left_semi").select("at", "node"))
+    sets = saved(_mapped(_texts(documents, chosen, "node").dropDuplicates(["node"]), [], "node long, shingles array<long>", make))
     out = saved(_near(pairs, sets))
     for df in (sets, chosen, pairs):
         discard(df)
@@ -180,7 +180,7 @@ def _screened(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 def _held(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(shingle, node, k, small): the first shingles of the nodes that another may have among its; ``small``: also as the smaller set."""
     screened = _screened(documents, nodes)
-    rows = saved(shingle_rows(_texts(documents, screened), False).distinct())
+    rows = saved(shingle_rows(_texts(documents, screened, "node").dropDuplicates(["node"]), False))
     counts = _counts(rows)
     shared = rows.join(counts, "shingle")
     own = Window.partitionBy("node")
