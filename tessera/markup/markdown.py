@@ -10,6 +10,8 @@ from .jsstrings import RUN, SPACE, pieces, size, trim
 #: Elements without a place in the markdown; those that stand on lines of their own.
 DROPPED = frozenset("script style nav aside footer header head noscript template".split())
 BLOCKS = frozenset("address article body center dd details dialog div dl dt fieldset figcaption figure form html main section summary tbody td tfoot th thead tr".split())
+#: Elements that mark each line of what they hold; so deep at most, since the marks add up with every level.
+INDENTING, MOST_NESTED = frozenset(["li", "blockquote"]), 32
 _CLASS = re.compile(r"(?:language-|lang-|highlight-)([a-zA-Z0-9]+)")
 #: Marks of a language in code, first that fits.
 MARKS = (("javascript", ("function ", "=>")), ("python", ("def ", "import ")), ("sql", ("SELECT ", "FROM ")), ("php", ("<?php",)))
@@ -53,23 +55,23 @@ def _leaf(node: Node) -> str:
 def _rendered(node: Node, top=lambda text: RUN.sub(" ", text)) -> str:
     """The markdown of a node's children; ``top`` treats the text among them. One pass with a stack of open elements."""
     places: dict[int, int] = {}
-    open_ = [(node, iter(node.children), [])]
+    open_ = [(node, iter(node.children), [], 0)]
     while True:
-        own, rest, parts = open_[-1]
+        own, rest, parts, nested = open_[-1]
         for c in rest:
             if isinstance(c, str):
                 parts.append(top(c) if len(open_) == 1 else _ESCAPED.sub(r"\\\1", RUN.sub(" ", c)))
             elif c.tag in ("pre", "code"):
                 parts.append(_leaf(c))
             elif c.tag not in DROPPED:
-                open_.append((c, iter(c.children), []))
+                open_.append((c, iter(c.children), [], nested + (c.tag in INDENTING)))
                 break
         else:
             open_.pop()
             inner = "".join(parts)
             if not open_:
                 return inner
-            open_[-1][2].append(_marked(own, inner, places))
+            open_[-1][2].append(_marked(own, inner, places) if nested <= MOST_NESTED or own.tag not in INDENTING else f"\n\n{trim(inner)}\n\n")
 
 
 def _marked(node: Node, inner: str, places: dict[int, int]) -> str:
