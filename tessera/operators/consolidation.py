@@ -20,14 +20,15 @@ def checked_limit(k: int) -> int:
     return k
 
 
-def consolidate_results(results: DataFrame, keys: tuple[str, ...] = ("query_id", "url"), most: int = MOST_RESULTS) -> DataFrame:
+def consolidate_results(results: DataFrame, keys: tuple[str, ...] = ("query_id", "url"), most: int | None = MOST_RESULTS) -> DataFrame:
     """(keys, place, id, text, score, section_path, source_ids) from ranked (keys, rank, id, text, score, section_path).
 
-    Of each group the ``most`` results that rank first are taken: merging compares pairs. A group is one row
-    with a list, so that Arrow carries many groups at a time.
+    Of each group the ``most`` results that rank first are taken: merging compares pairs. None: the caller has cut
+    them so. A group is one row with a list, so that Arrow carries many groups at a time.
     """
-    checked_limit(most)
-    results = results.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "id"))).filter(F.col("n") <= most).drop("n")
+    if most is not None:
+        checked_limit(most)
+        results = results.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "id"))).filter(F.col("n") <= most).drop("n")
     kinds = {k: results.schema[k].dataType.simpleString() for k in keys}
     spark = results.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -54,7 +54,7 @@ def answer(queries: DataFrame, chunks: DataFrame, provider: EmbeddingProvider, k
     vectors = vectors.filter("embedding is not null").select("query_id", "url", F.col("embedding").alias("query_embedding"))
     usable = chunks.filter("embedding is not null").select("url", "id", "text", "section_path", "embedding")
     found = similarity.search(vectors, usable, k, threshold)
-    return consolidate_results(found.select("query_id", "url", "rank", "id", "text", "score", "section_path"))
+    return consolidate_results(found.select("query_id", "url", "rank", "id", "text", "score", "section_path"), most=None)  # k at most
 
 
 def keyword_answer(queries: DataFrame, chunks: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
