@@ -37,15 +37,14 @@ WORDS = 5
 
 def shingle_sets(texts: list[bytes | None]):
     """The sorted, distinct shingles of each text, in order."""
-    for low, high in slices(texts, 1_000_000):
-        words = Words([t or b"" for t in texts[low:high]])
-        hashes, first = words.hashes(True), words.first
-        grams = gram_hashes(hashes, WORDS)
-        for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if end - begin >= WORDS:
-                yield np.unique(grams[begin : end - WORDS + 1])
-            else:
-                yield gram_hashes(hashes[begin:end], end - begin) if end > begin else np.zeros(1, dtype=np.uint64)
+    words = Words([t or b"" for t in texts])
+    hashes, first = words.hashes(True), words.first
+    grams = gram_hashes(hashes, WORDS)
+    for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if end - begin >= WORDS:
+            yield np.unique(grams[begin : end - WORDS + 1])
+        else:
+            yield gram_hashes(hashes[begin:end], end - begin) if end > begin else np.zeros(1, dtype=np.uint64)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -68,12 +67,14 @@ def simhash(shingles: np.ndarray) -> int:
 
 
 def _mapped(texts: DataFrame, kept: list[str], schema: str, make) -> DataFrame:
-    """Rows of ``make`` (from each batch and its sets) with the columns ``kept`` of the row that each came from."""
+    """Rows of ``make`` (from the sets of a few texts) with the columns ``kept`` of the row that each came from."""
 
     def run(batches):
         for b in batches:
-            at, columns = make(b, shingle_sets(b.column("text").cast(pa.binary()).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at)) for c in kept], *columns], names=names)
+            every = b.column("text").cast(pa.binary()).to_pylist()
+            for low, high in slices(every, 1_000_000):
+                at, columns = make(shingle_sets(every[low:high]))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(low + at)) for c in kept], *columns], names=names)
 
     names = [part.split()[0] for part in schema.split(", ")]
     return texts.mapInArrow(run, schema)
@@ -85,7 +86,7 @@ _NONE = np.zeros(0, dtype=np.int64)
 def nodes_of(documents: DataFrame) -> DataFrame:
     """(doc_id, th, node, k, fp) for every row: the text's xxhash64, the set's hash, size and SimHash."""
 
-    def make(_, sets):
+    def make(sets):
         values = np.array([(node_of(s), len(s), simhash(s)) for s in sets], dtype=np.int64).reshape(-1, 3)
         return np.arange(len(values)), [pa.array(np.ascontiguousarray(c)) for c in values.T]
 
@@ -104,7 +105,7 @@ def _columns(parts: list[tuple[np.ndarray, int, int]]) -> list[pa.Array]:
 def shingle_rows(texts: DataFrame, screen: bool) -> DataFrame:
     """(shingle, node, k): the shingles of each set, or the first ones that the screen looks at."""
 
-    def make(_, sets):
+    def make(sets):
         return _NONE, _columns([((s[: shown(len(s))] if screen else s).view(np.int64), node_of(s), len(s)) for s in sets])
 
     return _mapped(texts.select("text"), [], "shingle long, node long, k long", make)
@@ -137,7 +138,7 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The near ones of the proposed pairs (u, v)."""
 
-    def make(_, sets):
+    def make(sets):
         sets = list(sets)
         return _NONE, [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
