@@ -1,12 +1,12 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
 Training: backpropagation through time on pieces of a bounded sample of labelled documents (at most
-about ``SAMPLE`` of them, shared evenly among the languages, chosen by a hash of the id and spread
-over each text from its beginning to its end). The weights, some kilobytes, go to the executors with
-the function. Prediction: every byte of every text. Texts are cut in pieces of ``PIECE`` bytes that
-run side by side as one batch, each begun ``LEAD`` bytes early on either side, so that a position
-knows its neighbours; each position gets label probabilities, and a document's are their mean over
-its letters' positions.
+about ``SAMPLE`` of them, shared evenly among the languages, of which as many are learned at most, the
+most frequent; chosen by a hash of the id and spread over each text from its beginning to its end). The
+weights, some kilobytes, go to the executors with the function. Prediction: every byte of every text.
+Texts are cut in pieces of ``PIECE`` bytes that run side by side as one batch, each begun ``LEAD`` bytes
+early on either side, so that a position knows its neighbours; each position gets label probabilities,
+and a document's are their mean over its letters' positions.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; so is everything if no
 labelled row is left to learn from; with one language, that language. Repeated rows are predicted
