@@ -41,6 +41,8 @@ FOLDS, HELD_OUT = 10, 0
 ALPHA = 0.1
 HEAD = 150_000
 ROUNDS = 2
+#: Characters of a word up to which expected uses are found by plain probabilities, not their logarithms.
+SHORT = 32
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words that a task holds before it passes their counts on.
 MOST_HELD = 250_000
@@ -80,7 +82,7 @@ class Lattice:
             node = self.root
             for ch in text:
                 node = node.setdefault(ch, {})
-            node[""] = float(log[i]), i
+            node[""] = float(log[i]), i, math.exp(log[i])
 
     def log10(self, word: str) -> float:
         return self._reach("▁" + word)[-1] / _LN10
@@ -115,6 +117,8 @@ class Lattice:
     def expect(self, word: str, times: float, uses: list) -> None:
         """Adds to ``uses`` how often each piece is expected in ``times`` times the word."""
         text = "▁" + word
+        if len(text) <= SHORT and self._expect_short(text, times, uses):
+            return
         reach, n, exp, root = self._reach(text), len(text), math.exp, self.root
         through = [0.0] * n + [times]  # how many of the times the segmentation has an edge at each place
         for i in range(n - 1, -1, -1):
@@ -143,6 +147,36 @@ class Lattice:
             through[i] = mass
 
 
+    def _expect_short(self, text: str, times: float, uses: list) -> bool:
+        """The same by plain probabilities, which is quicker; False where they are too small for that."""
+        n, root = len(text), self.root
+        ahead, edges = [1.0] + [0.0] * n, []
+        for i in range(n):
+            here = ahead[i]
+            if not here:
+                continue
+            node, whole = root, False
+            for j in range(i + 1, n + 1):
+                node = node.get(text[j - 1])
+                if node is None:
+                    break
+                p = node.get("")
+                if p is not None:
+                    whole |= j == i + 1
+                    ahead[j] += here * p[2]
+                    edges.append((i, j, p[2], p[1]))
+            if not whole:
+                return False
+        if ahead[n] < 1e-280:
+            return False
+        behind = [0.0] * n + [times / ahead[n]]
+        for i, j, p, piece in reversed(edges):
+            q = p * behind[j]
+            behind[i] += q
+            uses[piece] += ahead[i] * q
+        return True
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """(word, c, a): times of each distinct word in the training fold, and in all documents."""
 

@@ -112,6 +112,14 @@ def test_rounds_raise_the_likelihood(spark):
         lattice = op.Lattice(own, got)
         seen.append(sum(n * lattice.log10(w) for w, n in train.items()))
     assert seen[0] < seen[1] < seen[2]
+    lattice = op.Lattice(own, own.prior)
+    for word in ("thehouse", "straße", "a", "", "rivers,", "q" * 31):
+        quick, slow = [0.0] * own.size, [0.0] * own.size
+        assert lattice._expect_short("▁" + word, 3.0, quick)
+        op.SHORT, kept = 0, op.SHORT
+        lattice.expect(word, 3.0, slow)
+        op.SHORT = kept
+        assert quick == pytest.approx(slow)
     long, uses = "x" * 20_000, [0.0] * own.size
     op.Lattice(own, own.prior).expect(long, 2.0, uses)
     assert sum(n * len(own.text.get(i, "")) for i, n in enumerate(uses)) == pytest.approx(2 * 20_001)
